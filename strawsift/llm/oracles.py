@@ -39,5 +39,21 @@ def op5_mixing() -> str:
     return f"WITH {mix_sql('documents')}\nSELECT doc_id, size, source_size, target, CAST(times * size AS BIGINT) AS taken FROM mixed"
 
 
+def dedup_sql(docs: str) -> str:
+    """CTEs that end in ``deduped``: the columns of ``docs`` with n_removed and new_text."""
+    return f"""
+split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {docs} WHERE text IS NOT NULL),
+held AS (SELECT *, regexp_extract(line, '[^\\x20\\x09-\\x0D].*[^\\x20\\x09-\\x0D]|[^\\x20\\x09-\\x0D]', 0, 's') AS body FROM split WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+runs AS (SELECT doc_id, i AS i1, lead(i, 1) OVER d AS i2, lead(i, 2) OVER d AS i3, body || chr(10) || lead(body, 1) OVER d || chr(10) || lead(body, 2) OVER d AS w FROM held WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i1) AS nth FROM runs WHERE w IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([i1, i2, i3]) AS i FROM placed WHERE nth > 1),
+rest AS (SELECT s.doc_id, count(g.i) AS n_removed, coalesce(string_agg(s.line, chr(10) ORDER BY s.i) FILTER (g.i IS NULL), '') AS new_text FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.i = g.i GROUP BY s.doc_id),
+deduped AS (SELECT d.*, coalesce(r.n_removed, 0) AS n_removed, r.new_text FROM {docs} d LEFT JOIN rest r ON d.doc_id = r.doc_id)"""
+
+
+def op8_line_dedup() -> str:
+    return f"WITH {dedup_sql('documents')}\nSELECT doc_id, CAST(n_removed AS BIGINT) AS n_removed, sha256(new_text) AS text_sha256 FROM deduped"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sharding(), "op5_mixing": op5_mixing()}
+    return {"op1_sharding": op1_sharding(), "op5_mixing": op5_mixing(), "op8_line_dedup": op8_line_dedup()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import bpe, lines, mixing, quality, sharding, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +23,33 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and best_score of every document."""
+    return unigram.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_removed and text_sha256 of every document."""
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_sharding": op1_sharding, "op5_mixing": op5_mixing, "op10_quality": op10_quality}
+    return {
+        "op1_sharding": op1_sharding,
+        "op5_mixing": op5_mixing,
+        "op6_token_counts": op6_token_counts,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_bpe": op9_bpe,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
