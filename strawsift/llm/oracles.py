@@ -16,6 +16,15 @@ d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '
 SELECT doc_id, CAST(slot AS INTEGER) AS slot, CAST(slots[slot + 1] AS INTEGER) AS shard FROM d, t"""
 
 
+def op2_topk() -> str:
+    return """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
 def mix_sql(docs: str, seed: str = mixing.SEED) -> str:
     """CTEs that end in ``mixed``: the columns of ``docs`` with size, source_size, target and times. Ranks every row by
     sorting each source whole, unlike the operator."""
@@ -56,4 +65,4 @@ def op8_line_dedup() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sharding(), "op5_mixing": op5_mixing(), "op8_line_dedup": op8_line_dedup()}
+    return {"op1_sharding": op1_sharding(), "op2_topk": op2_topk(), "op5_mixing": op5_mixing(), "op8_line_dedup": op8_line_dedup()}
