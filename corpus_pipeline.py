@@ -1,7 +1,52 @@
-"""placeholder"""
+"""From raw documents to training tokens: quality rules, line dedup, near-dedup, mixing, BPE.
+
+Each stage works on all rows that the one before it has kept, and each but the last returns the columns of ``documents``. A
+document that the mix takes twice stands in its result twice, and so in that of the last stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strawsift.llm import bpe, lines, mixing, neardup, quality
+from strawsift.llm.common import cut, table
+
+#: Near-duplicates and codes of BPE are beyond SQL: the tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and the thresholds of their language and source."""
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of three-line windows that came before; ``n_chars`` follows the text."""
+    return lines.dedup(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates (five words, similarity 0.8 or more): the one of least doc_id."""
+    return neardup.keep_one(docs, k=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and round_trip: do they decode to the text."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))))
+    return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("encode", encode)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else cut(docs), sf_dir)
+    return docs
