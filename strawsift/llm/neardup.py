@@ -8,8 +8,8 @@ each coordinate, gives the signature: ``minimum of pi(sigma(x) + j * STEP)``. Wi
 Equal sets are one class, and only its representative (least doc_id) goes on. Candidates are verified on full sets:
 
 1. each member of a bucket against the bucket's least member; the links that hold are joined into components;
-2. where a bucket still holds more than one component, all pairs in it that cross components and that a link's size bound
-   allows, so no link inside a bucket is lost, while copies of one component are never paired again.
+2. where a bucket still holds more than one component, all its rows across components, by an inverted index over their full sets
+   in tasks of bounded size; so no link inside a bucket is lost, and pairs are counted there but never made into rows.
 
 All joins are splittable where a key is hot, and nothing of a bucket's size stands in one task or on the driver.
 
@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, same
+from .common import cut, same, small_side
 from .components import components
 from .textkernel import Block, blocks, grams, mix, text_bytes
 
 BANDS, ROWS = 32, 4
+CHUNK = 1 << 17  # shingles on either side of a task of step 2
 STEP = np.uint32(0x9E3779B1)
 _SIGMA = np.uint64(0xA0761D6478BD642F)
 
@@ -170,21 +171,83 @@ def linked(nodes: DataFrame, docs: DataFrame, k: int, percent: int, ties: DataFr
     links = cut(links if ties is None else links.unionByName(ties))
     joined = components(links)
 
-    labelled = shared.where("_n > 2").join(joined, F.col("a") == F.col("node"), "left").select("_key", "a", "b", "n_shingles", F.coalesce("component", "a").alias("_c"))
+    labelled = shared.where("_n > 2").join(joined, F.col("a") == F.col("node"), "left").select("_key", "a", "n_shingles", F.coalesce("component", "a").alias("_c"))
     labelled = cut(labelled)
-    parts = labelled.groupBy("_key", "_c").agg(F.count("*").alias("_m"))
-    main = parts.groupBy(F.col("_key").alias("_mk")).agg(F.max(F.struct("_m", "_c")).alias("_main"), F.count("*").alias("_parts")).where("_parts > 1")
-    crossing = labelled.join(main, F.col("_key") == F.col("_mk")).select("_key", "a", "b", "n_shingles", "_c", (F.col("_c") == F.col("_main._c")).alias("_in_main"))
-    crossing = cut(crossing)
-    x = crossing.where("NOT _in_main").select("_key", F.col("a").alias("_x"), F.col("_c").alias("_xc"), F.col("n_shingles").alias("_xn"), F.col("b").alias("_head"))
-    y = crossing.select(F.col("_key").alias("_yk"), F.col("a").alias("_y"), F.col("_c").alias("_yc"), F.col("n_shingles").alias("_yn"), "_in_main")
-    fits = F.least("_xn", "_yn") * 100 >= percent * F.greatest("_xn", "_yn")
-    other = (F.col("_xc") != F.col("_yc")) & (F.col("_in_main") | (F.col("_x") < F.col("_y"))) & (F.col("_x") != F.col("_head")) & (F.col("_y") != F.col("_head"))
-    pairs = x.join(y, (F.col("_key") == F.col("_yk")) & fits & other).select(F.least("_x", "_y").alias("b"), F.greatest("_x", "_y").alias("a")).distinct()
-    pairs = cut(pairs.join(first, ["a", "b"], "left_anti"))
-    if not pairs.limit(1).count():
+    split = labelled.groupBy(F.col("_key").alias("_sk")).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
+    inside = cut(labelled.join(split, F.col("_key") == F.col("_sk")).select("a", "n_shingles", "_c", "_lo").distinct())
+    if not inside.limit(1).count():
         return joined
-    return components(links.unionByName(verified(pairs, docs, k, percent)))
+    return components(links.unionByName(crossing(inside, docs, k, percent)))
+
+
+def crossing(inside: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket: all pairs of them are covered, one link a pair of row and component
+    is returned. ``inside``: rows a of such buckets with n_shingles, their component _c and the least component _lo of the bucket.
+
+    Components that meet, directly or over others, are a family. The rows of a family outside its largest component are held
+    against all of it by an inverted index over full sets, in tasks of about CHUNK shingles on either side.
+    """
+    family = components(inside.where("_c <> _lo").select(F.col("_c").alias("a"), F.col("_lo").alias("b")))
+    people = inside.select("a", "n_shingles", "_c").distinct()
+    people = cut(people.join(family, F.col("_c") == F.col("node")).select("a", "n_shingles", "_c", F.col("component").alias("_f")))
+    parts = people.groupBy("_f", "_c").agg(F.count("*").alias("_m"), F.sum("n_shingles").alias("_s"))
+    sizes = parts.groupBy(F.col("_f").alias("_ff")).agg(F.max(F.struct("_m", "_c", "_s")).alias("_main"), F.sum("_m").alias("_m"), F.sum("_s").alias("_s")).where("_m > 2")
+    chunks = lambda s: F.greatest(F.lit(1), F.ceil(s / CHUNK)).cast("int")
+    sizes = sizes.select("_ff", F.col("_main._c").alias("_mc"), chunks(F.col("_s")).alias("_ny"), chunks(F.col("_s") - F.col("_main._s")).alias("_nx"))
+    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("_text"))
+    rows = people.join(sizes, F.col("_f") == F.col("_ff")).join(texts, F.col("a") == F.col("_id")).select("a", "_c", "_f", "_mc", "_nx", "_ny", "_text")
+    mine = lambda n: F.pmod(F.xxhash64("a"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    x = rows.where("_c <> _mc").select("_f", mine(F.col("_nx")).alias("_x"), every(F.col("_ny")).alias("_y"), F.lit(0).alias("_side"), "a", "_c", "_text")
+    y = rows.select("_f", every(F.col("_nx")).alias("_x"), mine(F.col("_ny")).alias("_y"), F.lit(1).alias("_side"), "a", "_c", "_text")
+    dealt = x.unionByName(y).repartition("_f", "_x", "_y").sortWithinPartitions("_f", "_x", "_y", "_side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, part.schema.field(4).type) for c in _links(*held, k, percent)], names=["a", "b"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                f, i, j, side, a, c, text = (x.to_pylist() for x in part.columns)
+                for key, s, row in zip(zip(f, i, j, strict=True), side, zip(a, c, text, strict=True), strict=True):
+                    if key != at:
+                        if at is not None:
+                            yield done()
+                        at, held = key, ([], [])
+                    held[s].append(row)
+        if at is not None:
+            yield done()
+
+    kind = people.schema["a"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _links(xs: list[tuple], ys: list[tuple], k: int, percent: int) -> tuple[list, list]:
+    """Of rows (id, component, text): for each x and each other component that it links with, one y of it."""
+    sets = [shingles(b, k) for t in (xs, ys) for _, _, b in blocks([(r[2] or "").encode() for r in t], lower=True, size=1 << 62)]
+    if len(sets) < 2:
+        return [], []
+    (mine, at), (theirs, to) = sets
+    owner = np.repeat(np.arange(len(ys)), np.diff(to))
+    order = np.argsort(theirs, kind="stable")
+    theirs, owner, size = theirs[order], owner[order], np.diff(to)
+    names = {c: i for i, c in enumerate(dict.fromkeys(r[1] for r in ys))}
+    group = np.array([names[r[1]] for r in ys])
+    low, high = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, "right")
+    a, b = [], []
+    for i, row in enumerate(xs):
+        lo, n = low[at[i] : at[i + 1]], high[at[i] : at[i + 1]] - low[at[i] : at[i + 1]]
+        places = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
+        shared = np.bincount(owner[places], minlength=len(ys))
+        union = at[i + 1] - at[i] + size - shared
+        hit = np.flatnonzero((shared > 0) & (100 * shared >= percent * union) & (group != names.get(row[1], -1)))
+        for j in hit[np.unique(group[hit], return_index=True)[1]]:
+            a.append(row[0])
+            b.append(ys[j][0])
+    return a, b
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -213,7 +276,7 @@ def report(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the least doc_id; of rows that repeat an id, one."""
     found = cut(classes(docs, k, percent))
-    gone = found.where("component <> _id").select(F.col("_id").alias("_gone")).distinct()
+    gone = small_side(found.where("component <> _id").select(F.col("_id").alias("_gone")).distinct())
     kept = docs.join(gone, same(docs["doc_id"], gone["_gone"]), "left_anti")
     many = cut(found.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 AND _id IS NOT NULL").select(F.col("_id").alias("_many")))
     if not many.limit(1).count():
