@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, neardup, pii, quality, sharding, topk, unigram
+from . import bpe, lines, lm, mixing, neardup, pii, quality, sharding, topk, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_removed and text_sha256 of every document."""
     return lines.report(table(spark, sf_dir, "documents"))
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op4_minhash": op4_minhash,
         "op5_mixing": op5_mixing,
         "op6_token_counts": op6_token_counts,
+        "op7_lm": op7_lm,
         "op8_line_dedup": op8_line_dedup,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
