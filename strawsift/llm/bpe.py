@@ -5,8 +5,8 @@ its children, so the root is the leftmost pair of the lowest rank. Merging it up
 steps as the tree is high, until the root holds no mergeable pair. Encoded pre-tokens are kept in a bounded table of each
 Python worker. Texts are encoded whole, in any length; equal texts get equal ids.
 
-A null text counts as empty (no ids); repeated rows are encoded each; an empty table gives an empty one; other columns, under
-any names, don't matter. The vocabulary file is a parameter: either a path that all executors can open or the default, which
+A null text counts as empty (no ids); repeated rows are encoded each; an empty table gives an empty one; other columns are carried
+along, but one of the name of a new column gives way to it. The vocabulary file is a parameter: either a path that all executors can open or the default, which
 each finds in its own installation; it is read once a worker.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: The pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 700_000
+KEPT = 250_000
 KEPT_LENGTH = 64
 _NONE = 1 << 62
 _PLACE = 1 << 32
@@ -172,7 +172,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def _mapped(docs: DataFrame, column: str, adds: str, each, path: str | None, split_special: bool) -> DataFrame:
     given = docs.schema[column].dataType.simpleString()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[column].alias("_given"))
+    names = [x.split()[0] for x in adds.split(", ")]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in names]).alias("_row"), docs[column].alias("_given"))
     made = "".join(f", {x}" for x in adds.split(", "))
     width, empty = adds.count(",") + 1, b"" if given == "binary" else ""
 
@@ -182,7 +183,7 @@ def _mapped(docs: DataFrame, column: str, adds: str, each, path: str | None, spl
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = [each(c, empty if x is None else x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o[i] for o in out]) for i in range(width)]], names=["_row", *[x.split()[0] for x in adds.split(", ")]])
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o[i] for o in out]) for i in range(width)]], names=["_row", *names])
 
     row = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row {row}{made}").select("_row.*", *[x.split()[0] for x in adds.split(", ")])
+    return rows.mapInArrow(run, f"_row {row}{made}").select("_row.*", *names)

@@ -137,14 +137,14 @@ def trained(docs: DataFrame, vocabulary: Vocabulary) -> Model:
     words = sc.broadcast(vocabulary)
     lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE))
     for turn in range(ROUNDS):
-        picked = docs.where(~held_out(F.col("doc_id")) & (lot == turn)).select(F.xxhash64("doc_id").alias("_order"), F.col("text").cast("string").alias("text"))
+        picked = docs.where(~held_out(F.col("doc_id")) & (lot == turn)).select(F.col("text").cast("string"))
         shards = max(1, -(-picked.count() // SHARD))
         weights = sc.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], words=words, weights=weights) -> Iterator[pa.RecordBatch]:
             own, parts = None, []
             for batch in batches:
-                for _, _, b in blocks(text_bytes(batch.column(1)), lower=True):
+                for _, _, b in blocks(text_bytes(batch.column(0)), lower=True):
                     hashes, tails, first = _tokens(b)
                     parts.append((words.value.look_up(hashes, tails)[1].astype(np.int32), first))
             if parts:
@@ -156,8 +156,8 @@ def trained(docs: DataFrame, vocabulary: Vocabulary) -> Model:
                     values = flat[at : at + 8192].astype(np.float64)
                     yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([float(seen)]), pa.array([values.tolist()], pa.list_(pa.float64()))], names=["at", "seen", "values"])
 
-        dealt = picked.repartition(shards, "_order").sortWithinPartitions("_order", "text")
-        each = dealt.mapInArrow(run, "at long, seen double, values array<double>")
+        # shards are runs of scan partitions: no text is shuffled
+        each = picked.coalesce(shards).mapInArrow(run, "at long, seen double, values array<double>")
         each = each.select("at", "seen", F.posexplode("values").alias("i", "v")).groupBy((F.col("at") + F.col("i")).alias("i"))
         mean = each.agg((F.sum(F.col("v") * F.col("seen")) / F.sum("seen")).alias("v")).toArrow()  # one row a weight
         if mean.num_rows:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -298,7 +298,11 @@ def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256 and spans of each document."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS]
     return spans(docs).select("doc_id", *counts, F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"), F.array_join("found", ",").alias("spans"))
 
 

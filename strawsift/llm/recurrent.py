@@ -78,7 +78,7 @@ class Model:
         order = np.argsort(c, kind="stable")
         rows, c = rows[order], c[order]
         edges = np.flatnonzero(np.diff(c, prepend=-1))
-        for a, b in zip(edges, [*edges[1:], len(c)], strict=True):
+        for a, b in zip(edges, [*edges[1:], len(c)], strict=False):  # no edge: no row
             yield int(c[a]), rows[a:b]
 
     def log_probability(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:

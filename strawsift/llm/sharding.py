@@ -66,11 +66,12 @@ def slots(spark: SparkSession, table: list[int]) -> DataFrame:
 
 
 def place(df: DataFrame, key: Column, shards: tuple[str, ...] = SHARDS, size: int = SIZE, turns: dict[str, int] | None = None, slot: str = "slot", shard: str = "shard") -> DataFrame:
-    """``df`` with the columns ``slot`` and ``shard`` (a number) of each row; no row is shuffled."""
-    if clash := {slot, shard} & set(df.columns):
-        raise ValueError(f"the rows have columns of these names already: {sorted(clash)}")
-    found = F.broadcast(slots(df.sparkSession, lookup_table(shards, size, turns)).withColumnRenamed("_shard", shard))
-    return df.withColumn(slot, slot_of(key, size)).join(found, F.col(slot) == found["_slot"]).drop("_slot")
+    """``df`` with the columns ``slot`` and ``shard`` (a number) of each row, in place of any of these names; no row is shuffled."""
+    found = F.broadcast(slots(df.sparkSession, lookup_table(shards, size, turns)))
+    kept = [df[c] for c in df.columns if c not in (slot, shard)]
+    rows = df.select(F.struct(*kept).alias("_row"), slot_of(key, size).alias("_at")) if kept else df.select(slot_of(key, size).alias("_at"))
+    rows = rows.join(found, F.col("_at") == F.col("_slot"))
+    return rows.select(*(["_row.*"] if kept else []), F.col("_at").alias(slot), F.col("_shard").alias(shard))
 
 
 def write_shards(placed: DataFrame, path: str, files: int = 4, shard: str = "shard", n_shards: int = len(SHARDS)) -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 DEFAULT_FILE = "piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-KEPT = 500_000
+KEPT = 300_000
 KEPT_LENGTH = 64
 
 
@@ -117,8 +117,8 @@ def counter(path: str | None = None) -> Counter:
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens and best_score (the sum of the pieces' scores on the best path)."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].cast("string").alias("_text"))
+    """``docs`` with n_tokens and best_score (the sum of the pieces' scores on the best path), in place of any of these names."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in ("n_tokens", "best_score")]).alias("_row"), docs[text].cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
