@@ -155,6 +155,16 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     return _mapped(docs, text, f"{ids} binary", lambda c, t: [c.encode(t)], path, split_special)
 
 
+def encode_checked(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", checked: str = "round_trip") -> DataFrame:
+    """As ``encode``, with the column ``checked``: do the ids decode to the text. One pass, one codec a worker."""
+
+    def both(c: Codec, t: str) -> list:
+        coded = c.encode(t)
+        return [coded, c.decode(coded) == t]
+
+    return _mapped(docs, text, f"{ids} binary, {checked} boolean", both, path, True)
+
+
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the column ``text``: the text of the ids."""
     return _mapped(docs, ids, f"{text} string", lambda c, b: [c.decode(b)], path, True)

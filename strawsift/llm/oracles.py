@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 #: Words of a text: a list of maximal runs without white space.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -64,5 +64,44 @@ def op8_line_dedup() -> str:
     return f"WITH {dedup_sql('documents')}\nSELECT doc_id, CAST(n_removed AS BIGINT) AS n_removed, sha256(new_text) AS text_sha256 FROM deduped"
 
 
+def op4_minhash() -> str:
+    """All pairs that share a shingle, and components by reachability."""
+    return r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)"""
+
+
+def op10_quality() -> str:
+    measures = [e for _, e, _ in quality.MEASURES]
+    margins = ", ".join(f"({i}, {m})" for i, (*_, m) in enumerate(quality.MEASURES))
+    passed = " AND ".join(f"({e}) <= (SELECT any_value(f.t) FROM fence f WHERE f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source AND f.measure = {i})" for i, e in enumerate(measures))
+    failed = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
+    return rf"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 7)),
+again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+c AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+  FROM w LEFT JOIN again USING (doc_id) LEFT JOIN lines USING (doc_id)),
+good AS (SELECT * FROM c WHERE NOT ({failed})),
+m AS (SELECT lang, source, measure, CASE WHEN x <= 0 THEN 0 ELSE greatest(1, 200 + CAST(floor(log2(x) * {quality.BINS_A_DOUBLING}) AS INT)) END AS bin FROM (SELECT lang, source, unnest([{", ".join(f"{{'k': {i}, 'x': CAST({e} AS DOUBLE)}}" for i, e in enumerate(measures))}]) AS u FROM good) AS t(lang, source, u), LATERAL (SELECT u.k AS measure, u.x AS x)),
+groups AS (SELECT 2 AS level, lang, source, measure, bin FROM m UNION ALL SELECT 1, lang, NULL, measure, bin FROM m UNION ALL SELECT 0, NULL, NULL, measure, bin FROM m),
+ranked AS (SELECT *, cume_dist() OVER g AS part, count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM groups WINDOW g AS (PARTITION BY level, lang, source, measure ORDER BY bin)),
+valued AS (SELECT *, CASE WHEN bin = 0 THEN 0.0 ELSE pow(2.0, (bin - 199) / {quality.BINS_A_DOUBLING}.0) END AS v FROM ranked),
+q AS (SELECT level, lang, source, measure, any_value(n) AS n, min(v) FILTER (part >= 0.25) AS low, min(v) FILTER (part >= 0.75) AS high FROM valued GROUP BY ALL),
+t AS (SELECT level, lang, source, q.measure, n, high + greatest(margin, {quality.REACH} * (high - low)) AS t FROM q JOIN (VALUES {margins}) AS x(measure, margin) ON q.measure = x.measure),
+fence AS (SELECT f.lang, f.source, f.measure, CASE WHEN f.n >= {quality.LEAST} THEN f.t WHEN l.n >= {quality.LEAST} THEN l.t ELSE a.t END AS t
+  FROM t f JOIN t l ON f.level = 2 AND l.level = 1 AND f.lang IS NOT DISTINCT FROM l.lang AND f.measure = l.measure JOIN t a ON a.level = 0 AND a.measure = f.measure)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT ({failed}) AND ({passed}) AS kept FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": op1_sharding(), "op2_topk": op2_topk(), "op5_mixing": op5_mixing(), "op8_line_dedup": op8_line_dedup()}
+    return {"op1_sharding": op1_sharding(), "op2_topk": op2_topk(), "op4_minhash": op4_minhash(), "op5_mixing": op5_mixing(), "op8_line_dedup": op8_line_dedup(), "op10_quality": op10_quality()}

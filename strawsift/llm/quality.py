@@ -29,8 +29,8 @@ BINS_A_DOUBLING = 8
 MEASURES = (
     ("word_length", "word_chars / greatest(n_words, 1)", 3.0),
     ("symbol_ratio", "n_symbols / greatest(n_words, 1)", 0.1),
-    ("dup_line_ratio", "n_dup_lines / greatest(n_lines, 1)", 0.3),
-    ("repeat_ratio", "n_repeat_words / greatest(n_words, 1)", 0.2),
+    ("dup_line_ratio", "n_dup_lines / greatest(n_lines, 1)", 0.5),
+    ("repeat_ratio", "n_repeat_words / greatest(n_words, 1)", 0.3),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.zeros(256, bool)
