@@ -41,19 +41,23 @@ def get(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def put(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write an object whole: under another name first, then renamed, so that no reader meets a part of it."""
+def put(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write a new object whole: under another name first, then renamed, so that no reader meets a part of it. False, and nothing
+    written, if there is an object at the path."""
     fs, p = _open(spark, path)
-    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    if fs.exists(p):
+        return False
+    jvm = spark.sparkContext._jvm
+    part = jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.part")
     stream = fs.create(part, True)
     try:
         stream.write(bytearray(data))
     finally:
         stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(part, p):
-        raise OSError(f"{path} could not be written")
+    done = not fs.exists(p) and bool(fs.rename(part, p))
+    if not done:
+        fs.delete(part, False)
+    return done
 
 
 def copy_in(spark: SparkSession, local: str, path: str) -> None:

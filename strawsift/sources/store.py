@@ -1,13 +1,14 @@
 """The index and the sketches on disk, in versions.
 
 A version is a list of segments (folders of Parquet files that never change) and the batches that it covers, in a small JSON
-file; one such file is written for each version and a pointer names the current one. Readers see whole versions only, a batch that comes
+file with the version's number as its name; the highest number is current. Readers see whole versions only, a batch that comes
 again adds nothing, and what it wrote before a crash is in no version.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -38,30 +39,32 @@ class Versions:
         self.spark, self.root = spark, root.rstrip("/")
 
     def current(self) -> Version:
-        """The current version; an empty one where nothing has been written. Any failure but a missing pointer is raised."""
-        try:
-            number = int(storage.get(self.spark, f"{self.root}/_current"))
-        except storage.NotThere:
+        """The version of the highest number; an empty one where nothing has been written. Failures to read one are raised."""
+        numbers = [int(m[1]) for n in storage.names(self.spark, f"{self.root}/versions", recursive=False) if (m := re.search(r"/(\d+)\.json$", n))]
+        if not numbers:
             return Version(0, (), ())
-        found = json.loads(storage.get(self.spark, f"{self.root}/versions/{number}.json"))
-        return Version(number, tuple(found["segments"]), tuple(found["batches"]))
+        found = json.loads(storage.get(self.spark, f"{self.root}/versions/{max(numbers)}.json"))
+        return Version(max(numbers), tuple(found["segments"]), tuple(found["batches"]))
 
     def new_segment(self) -> str:
         return f"{self.root}/segments/{uuid.uuid4().hex}"
 
     def turn_to(self, segments: tuple[str, ...], batches: tuple[str, ...], after: Version) -> Version:
-        if self.current().number != after.number:
-            raise RuntimeError("another writer has changed the index meanwhile")
+        """The next version. It comes into being by one rename; where another writer has made it already, RuntimeError."""
         made = Version(after.number + 1, segments, batches)
-        body = {"segments": list(segments), "batches": list(batches)}
-        storage.put(self.spark, f"{self.root}/versions/{made.number}.json", json.dumps(body).encode())
-        storage.put(self.spark, f"{self.root}/_current", str(made.number).encode())
+        body = json.dumps({"segments": list(segments), "batches": list(batches)}).encode()
+        if self.current().number != after.number or not storage.put(self.spark, f"{self.root}/versions/{made.number}.json", body):
+            raise RuntimeError("another writer has changed the index meanwhile")
         return made
 
     def sweep(self) -> int:
-        """Delete segments that the current version doesn't have; how many. Not while readers hold an older version."""
+        """Delete older versions and the segments that only they have; how many segments. Not while readers hold an older version."""
         live = {s.rsplit("/", 1)[-1] for s in self.current().segments}
         gone = [s for s in storage.folders(self.spark, f"{self.root}/segments") if s not in live]
+        number = self.current().number
+        for n in storage.names(self.spark, f"{self.root}/versions", recursive=False):
+            if not n.endswith(f"/{number}.json"):
+                storage.delete(self.spark, n)
         for s in gone:
             storage.delete(self.spark, f"{self.root}/segments/{s}")
         return len(gone)

@@ -74,12 +74,19 @@ def json_entries(spark: SparkSession, paths: list[str], json_literal: bool = Fal
     return cells.where(scalar).select("column", value.alias("value"), "file").where(present(F.col("value")))
 
 
+def _one(text):
+    """The only JSON value of a text, as a variant; null if it has none, several or anything else. The parser passes over what follows
+    a value, so it is given an array of what should be one."""
+    values = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).cast("array<variant>")
+    return F.when(F.size(values) == 1, F.element_at(values, 1))
+
+
 def _json_items(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, item): the file's value or, where the whole is no JSON, that of each line; null where that fails too."""
-    texts = spark.read.text(paths, wholetext=True).select(_file().alias("file"), "value", F.try_parse_json("value").alias("whole"))
+    texts = spark.read.text(paths, wholetext=True).select(_file().alias("file"), "value", _one(F.col("value")).alias("whole"))
     one = texts.where("whole IS NOT NULL").select("file", F.col("whole").alias("item"))
     lines = texts.where("whole IS NULL").select("file", F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    parsed = lines.select("file", F.transform("lines", F.try_parse_json).alias("items"))
+    parsed = lines.select("file", F.transform("lines", _one).alias("items"))
     fine = F.forall("items", lambda x: x.isNotNull()) & (F.size("items") > 0)
     return one.unionByName(parsed.select("file", F.explode(F.when(fine, F.col("items")).otherwise(F.array(F.lit(None).cast("variant")))).alias("item")))
 

@@ -78,9 +78,9 @@ def test_other_kinds_are_passed_over_and_faults_reported(spark, tmp_path):
 
 def test_storage(spark, tmp_path):
     root = f"file://{tmp_path}"
-    storage.put(spark, f"{root}/a/x.bin", b"one")
-    storage.put(spark, f"{root}/a/x.bin", b"two")
-    assert storage.get(spark, f"{root}/a/x.bin") == b"two"
+    assert storage.put(spark, f"{root}/a/x.bin", b"one")
+    assert not storage.put(spark, f"{root}/a/x.bin", b"two")
+    assert storage.get(spark, f"{root}/a/x.bin") == b"one"
     assert [n.rsplit("/", 1)[1] for n in storage.names(spark, f"{root}/a")] == ["x.bin"]
     assert storage.exists(spark, f"{root}/a/x.bin") and storage.delete(spark, f"{root}/a")
     assert storage.names(spark, f"{root}/a") == []
