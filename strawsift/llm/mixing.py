@@ -31,11 +31,12 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """From (_source, _size): a row for each source with source_size, target and its expected copies a document.
+    """From (_source, _size, _weight): a row for each source with source_size, target, the expected copies of a document of mean weight,
+    and that weight.
 
     The windows run over one row a source.
     """
-    totals = sizes.groupBy("_source").agg(F.sum("_size").alias("source_size"))
+    totals = sizes.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.sum(F.col("_weight") * F.col("_size")).alias("_mean"))
     order = Window.orderBy(F.col("_source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1
     row = totals.withColumn("_w", F.element_at(F.array(*[F.lit(w) for w in weights]), turn).cast("long"))
@@ -48,7 +49,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     row = row.withColumn("_level", F.max(F.when(~F.col("_full"), F.col("_level"))).over(every))
     target = F.when(F.col("_full"), F.col("_most").cast("double")).otherwise(F.col("_w") * F.col("_level"))
     row = row.withColumn("target", target)
-    return row.select("_source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_copies"))
+    over = F.when((F.col("source_size") > 0) & (F.col("_mean") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
+    mean = F.when(F.col("_mean") > 0, F.col("_mean") / F.col("source_size")).otherwise(1.0)
+    return row.select("_source", "source_size", "target", over.alias("_copies"), mean.alias("_mean"))
 
 
 def odds(p: Column) -> Column:
@@ -61,23 +64,25 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
+def _ranked(rows: DataFrame, cap: int) -> DataFrame:
     """Adds the certain copies, and for documents with a fraction left their rank and its bin."""
+    rows = rows.withColumn("_copies", F.least(F.lit(float(cap)), F.col("_copies") * F.col("_weight") / F.col("_mean")))
     part = F.col("_copies") - F.floor("_copies")
     rows = rows.withColumn("_whole", F.floor("_copies").cast("long")).withColumn("_rank", F.when(part > 0, odds(F.col("_u")) / odds(part)))
     return rows.withColumn("_bin", F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS))
 
 
 def cuts(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """From (_source, _id, _size, _u): the targets with ``_at``, the last rank that each source takes, and its bin."""
+    """From (_source, _id, _size, _u, _weight): the targets with ``_at``, the last rank that each source takes, and its bin."""
     goal = small_side(targets(sizes, weights, cap))
-    rows = _ranked(sizes.join(goal, same(sizes["_source"], goal["_source"])).drop(goal["_source"]))
+    rows = _ranked(sizes.join(goal, same(sizes["_source"], goal["_source"])).drop(goal["_source"]), cap)
+    certain = rows.groupBy(F.col("_source").alias("_s")).agg(F.sum(F.col("_whole") * F.col("_size")).alias("_certain"))
+    rests = small_side(goal.join(certain, same(F.col("_source"), F.col("_s"))).select("_s", (F.col("target") - F.col("_certain")).alias("_rest")))
     rows = rows.where("_rank IS NOT NULL")
-    goal = goal.withColumn("_rest", F.col("target") - F.floor("_copies") * F.col("source_size"))
     bins = rows.groupBy("_source", "_bin").agg(F.sum("_size").alias("_size"))
     upto = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("_through", F.sum("_size").over(upto))
-    bins = bins.join(goal.select(F.col("_source").alias("_s"), "_rest"), same(F.col("_source"), F.col("_s"))).drop("_s")
+    bins = bins.join(rests, same(F.col("_source"), F.col("_s"))).drop("_s")
     crossing = bins.where("_through > _rest").groupBy("_source", "_rest").agg(F.min(F.struct("_bin", (F.col("_through") - F.col("_size")).alias("_past"))).alias("_c"))
     crossing = small_side(crossing.select(F.col("_source").alias("_s"), "_rest", F.col("_c._bin").alias("_b"), F.col("_c._past").alias("_past")))
     tie = F.struct(F.col("_rank").alias("rank"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("id"), F.col("_size").alias("size")).alias("_at")
@@ -87,34 +92,39 @@ def cuts(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
     last = inside.where("_ahead + _n / 2 <= _rest").groupBy("_source").agg(F.max("_at").alias("_at"))
     last = last.select(F.col("_source").alias("_s"), "_at")
     out = goal.join(crossing.select(F.col("_s").alias("_s2"), "_b"), same(F.col("_source"), F.col("_s2")), "left").drop("_s2")
-    return out.join(last, same(F.col("_source"), F.col("_s")), "left").drop("_s", "_rest")
+    return out.join(last, same(F.col("_source"), F.col("_s")), "left").drop("_s")
 
 
-def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """What a mix needs of each document: source, id, size and random number. Computed once, without the texts."""
-    return cut(docs.select(F.col("source").alias("_source"), F.col("doc_id").alias("_id"), words(F.col("text")).alias("_size"), uniform(F.col("doc_id"), seed).alias("_u")))
+def _needed(seed: str, weight: Column | None) -> list[Column]:
+    """What a mix needs of each document. A null or negative weight counts as 0."""
+    own = F.lit(1.0) if weight is None else F.greatest(F.lit(0.0), F.coalesce(weight.cast("double"), F.lit(0.0)))
+    return [F.col("source").alias("_source"), F.col("doc_id").alias("_id"), words(F.col("text")).alias("_size"), uniform(F.col("doc_id"), seed).alias("_u"), own.alias("_weight")]
 
 
-def copies(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """``rows`` (_source, _id, _size, _u and others) with source_size, target and ``_times``, the copies the mix takes."""
+def sized(docs: DataFrame, seed: str = SEED, weight: Column | None = None) -> DataFrame:
+    """Source, id, size, random number and weight of each document. Computed once, without the texts."""
+    return cut(docs.select(*_needed(seed, weight)))
+
+
+def copies(rows: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
+    """``rows`` (_source, _id, _size, _u, _weight and others) with source_size, target and ``_times``, the copies the mix takes."""
     rows = rows.withColumn("_key", F.col("_source")).drop("_source")
-    rows = _ranked(rows.join(goal, same(F.col("_key"), F.col("_source"))))
+    rows = _ranked(rows.join(goal, same(F.col("_key"), F.col("_source"))), cap)
     tie = F.struct(F.col("_rank").alias("rank"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("id"), F.col("_size").alias("size"))
     taken = F.col("_rank").isNotNull() & (F.col("_b").isNull() | (F.col("_bin") < F.col("_b")) | F.coalesce((F.col("_bin") == F.col("_b")) & (tie <= F.col("_at")), F.lit(False)))
     return rows.withColumn("_times", F.col("_whole") + F.when(taken, 1).otherwise(0))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: the rows of ``docs`` (its own columns), each as often as the mix takes it."""
-    goal = small_side(cuts(sized(docs, seed), weights, cap))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, weight: Column | None = None) -> DataFrame:
+    """The mixed corpus: the rows of ``docs`` (its own columns), each as often as the mix takes it. ``weight``: of each document."""
+    goal = small_side(cuts(sized(docs, seed, weight), weights, cap))
     kept = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    rows = docs.select(kept, F.col("source").alias("_source"), F.col("doc_id").alias("_id"), words(F.col("text")).alias("_size"), uniform(F.col("doc_id"), seed).alias("_u"))
-    rows = copies(rows, goal).where("_times > 0")
+    rows = copies(docs.select(kept, *_needed(seed, weight)), goal, cap).where("_times > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")
 
 
-def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, weight: Column | None = None) -> DataFrame:
     """A row for each document: doc_id, size, source_size, target and taken (its words in the mix)."""
-    rows = sized(docs, seed)
-    out = copies(rows, small_side(cuts(rows, weights, cap)))
+    rows = sized(docs, seed, weight)
+    out = copies(rows, small_side(cuts(rows, weights, cap)), cap)
     return out.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("_times") * F.col("_size")).alias("taken"))

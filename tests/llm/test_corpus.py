@@ -183,6 +183,25 @@ def test_mixes_come_near_their_targets(spark):
     assert abs(sum(x["target"] for x in found) - sum(x["source_size"] for x in found)) < 1e-3
 
 
+def test_document_weights_are_inclusion_odds(spark):
+    """Over many seeds a document is taken as often as its weight says, and every mix has the target's words."""
+    rows = [(i, "w " * 10, "en", "a" if i < 120 else "b", None) for i in range(240)]
+    df = spark.createDataFrame(rows, DOCS)
+    weight = F.when(F.col("doc_id") % 3 == 0, 3.0).otherwise(1.0)
+    taken, runs = {}, 12
+    for seed in range(runs):
+        found = mixing.shares(df, weights=(1, 5), seed=f"t{seed}", weight=weight).collect()
+        for r in found:
+            taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"] / 10
+        a = [r for r in found if r["doc_id"] < 120]
+        assert abs(sum(r["taken"] for r in a) - a[0]["target"]) <= 10
+        assert max(r["taken"] for r in found) <= 30
+    # source a: a third of its words is wanted, so weights 3 and 1 are taken with 0.6 and 0.2
+    heavy = sum(taken[i] for i in range(0, 120, 3)) / 40 / runs
+    light = sum(taken[i] for i in range(120) if i % 3) / 80 / runs
+    assert abs(heavy - 0.6) < 0.06 and abs(light - 0.2) < 0.04
+
+
 # personal data
 
 
