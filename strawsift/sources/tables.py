@@ -66,8 +66,7 @@ def json_entries(spark: SparkSession, paths: list[str], json_literal: bool = Fal
         flat = F.when(F.schema_of_variant("item").startswith("ARRAY"), F.expr("CAST(item AS ARRAY<VARIANT>)")).otherwise(F.array("item"))
         items = items.select("file", F.explode(flat).alias("item")).where("item IS NOT NULL")
     objects = items.where(F.schema_of_variant("item").startswith("OBJECT"))
-    objects.createOrReplaceTempView("_strawsift_items")
-    cells = spark.sql("SELECT file, o.key AS `column`, o.value AS v FROM _strawsift_items, LATERAL variant_explode(item) AS o")
+    cells = objects.select("file", F.explode(F.col("item").cast("map<string,variant>")).alias("column", "v")).where("v IS NOT NULL")
     kind = F.schema_of_variant("v")
     scalar = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY") | kind.startswith("VOID"))
     value = F.to_json("v") if json_literal else F.col("v").cast("string")
