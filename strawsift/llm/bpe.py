@@ -194,6 +194,7 @@ def _mapped(docs: DataFrame, column: str, adds: str, each, path: str | None, spl
                 part = batch.slice(at, 256)
                 out = [each(c, empty if x is None else x) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o[i] for o in out]) for i in range(width)]], names=["_row", *names])
+        c.kept.clear()  # an idle worker holds no words
 
     row = rows.schema["_row"].dataType.simpleString()
     return rows.mapInArrow(run, f"_row {row}{made}").select("_row.*", *names)

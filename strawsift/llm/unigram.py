@@ -127,6 +127,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text") -
                 part = batch.slice(at, 256)
                 out = [c.count(x or "") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64())], names=["_row", "n_tokens", "best_score"])
+        c.kept.clear()  # an idle worker holds no words
 
     row = rows.schema["_row"].dataType.simpleString()
     return rows.mapInArrow(run, f"_row {row}, n_tokens long, best_score double").select("_row.*", "n_tokens", "best_score")
