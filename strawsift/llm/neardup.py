@@ -33,7 +33,7 @@ from .components import components
 from .textkernel import Block, blocks, grams, mix, text_bytes
 
 BANDS, ROWS = 32, 4
-CHUNK = 1 << 17  # shingles on either side of a task of step 2
+CHUNK = 1 << 15  # shingles on either side of a task of step 2
 STEP = np.uint32(0x9E3779B1)
 _SIGMA = np.uint64(0xA0761D6478BD642F)
 
@@ -173,7 +173,7 @@ def linked(nodes: DataFrame, docs: DataFrame, k: int, percent: int, ties: DataFr
 
     labelled = shared.where("_n > 2").join(joined, F.col("a") == F.col("node"), "left").select("_key", "a", "n_shingles", F.coalesce("component", "a").alias("_c"))
     labelled = cut(labelled)
-    split = labelled.groupBy(F.col("_key").alias("_sk")).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
+    split = cut(labelled.groupBy(F.col("_key").alias("_sk")).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi"))
     inside = cut(labelled.join(split, F.col("_key") == F.col("_sk")).select("a", "n_shingles", "_c", "_lo").distinct())
     if not inside.limit(1).count():
         return joined
