@@ -85,16 +85,17 @@ class Vocabulary:
 
     def __init__(self, counts: DataFrame):
         self.total, self.distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        # the least count with at most KNOWN words from it on
+        # the least count with at most KNOWN words from it on, by the counts' sixteenths of a doubling (about a thousand rows at most)
         self.least, held = 1, 0
         if self.distinct > KNOWN:
-            sizes = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).collect()  # at most 10,000 rows
-            self.least = 10_001
-            for n, words in sizes:
-                held += words
+            step = F.floor(F.log2("n") * 16).alias("step")
+            sizes = counts.groupBy(step).agg(F.count("*").alias("words"), F.min("n").alias("least"), F.max("n").alias("most")).orderBy(F.col("step").desc()).collect()
+            self.least = sizes[0]["most"] + 1
+            for r in sizes:
+                held += r["words"]
                 if held > KNOWN:
                     break
-                self.least = n
+                self.least = r["least"]
         known = counts.where((F.col("n") >= self.least) | (F.col("h") == F.lit(int(np.uint64(END).astype(np.int64))))).toArrow() if self.total else None
         h, tail, n = (known[c].to_numpy() for c in ("h", "tail", "n")) if known else (np.zeros(0, np.int64),) * 3
         order = np.argsort(h.view(np.uint64))

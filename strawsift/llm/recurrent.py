@@ -194,16 +194,18 @@ class Model:
         np.add.at(g["gates"], before.ravel(), given.reshape(-1, 3 * n))
         return g, h, loss
 
-    def train(self, symbols: np.ndarray, first: np.ndarray, lanes: int = 32, rate: float = 0.05, updates: int = 400) -> tuple[int, float]:
+    def train(self, symbols: np.ndarray, first: np.ndarray, lanes: int = 32, rate: float = 0.05, updates: int = 400, passes: int = 4) -> tuple[int, float]:
         """Learn from some texts; (symbols in a pass, loss of the last pass). The texts stand in ``lanes`` side by side, one after the other,
-        each from a state of zero; a lane's state is carried over its windows. Passes go on until ``updates`` are made."""
+        each from a state of zero; a lane's state is carried over its windows. Passes go on until ``updates`` are made, but no more than ``passes``."""
         past = {name: np.full(x.shape, 1e-4, _f) for name, x in self.p.items()}
         before = np.concatenate([[self.start], symbols[:-1]]) if len(symbols) else symbols
         before[first[:-1][np.diff(first) > 0]] = self.start
         steps = -(-len(symbols) // lanes)
         lane = np.arange(lanes) * steps
         made, loss = 0, 0.0
-        while len(symbols) and made < updates:
+        for _ in range(passes if len(symbols) else 0):
+            if made >= updates:
+                break
             h, loss = np.zeros((lanes, self.hidden), _f), 0.0
             for t in range(0, steps, WINDOW):
                 u = np.arange(t, min(t + WINDOW, steps))[:, None]
