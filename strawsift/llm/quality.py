@@ -128,9 +128,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     whole = _fences(sketch.groupBy("measure", "bin").agg(F.sum("n").alias("n")).withColumn("_all", F.lit(1)), ["_all"])
     names = [f"t{i}" for i in range(len(MEASURES))]
     lang = lang.select(F.col("_lang").alias("_l"), F.col("n").alias("_ln"), *[F.col(t).alias(f"l{t}") for t in names])
-    whole = whole.select(*[F.col(t).alias(f"w{t}") for t in names])
-    both = fine.join(lang, same(F.col("_lang"), F.col("_l"))).crossJoin(F.broadcast(whole))  # one row
-    pick = lambda t: F.when(F.col("n") >= LEAST, F.col(t)).when(F.col("_ln") >= LEAST, F.col(f"l{t}")).otherwise(F.col(f"w{t}"))
+    all_ = whole.first() or dict.fromkeys(names)  # one row, or none for an empty table
+    both = fine.join(lang, same(F.col("_lang"), F.col("_l")))
+    pick = lambda t: F.when(F.col("n") >= LEAST, F.col(t)).when(F.col("_ln") >= LEAST, F.col(f"l{t}")).otherwise(F.lit(all_[t]))
     return both.select(F.col("_lang").alias("_tl"), F.col("_source").alias("_ts"), *[pick(t).alias(t) for t in names])
 
 
