@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 8192  # rows of a block
+BLOCK = 4096  # rows of a block
 GROUP = 4096  # queries of a group
 LEVELS = 8
-TOGETHER = 128  # queries that share a pass
+TOGETHER = 64  # queries that share a pass
 FEW = 0.04  # possible members, as a share of a block, at which they are scored exactly
 
 
@@ -70,9 +70,13 @@ class Index:
                 got[rows] += values.astype(kind)[:, None] * weights[d]
             if level == 0 and len(self.levels) > 1:
                 continue  # a handful of postings: no bound can prove anything yet
-            lead = np.argpartition(np.where(own, -np.inf, got), n - least, axis=0)[n - least :]
-            exact = self._exact(lead.T.ravel(), np.repeat(queries, least, axis=0)).reshape(m, least).astype(np.float64)
-            exact[own[lead, np.arange(m)].T] = -np.inf
+            # any rows that lead so far will do to say what a member must reach
+            ranked = np.ascontiguousarray(np.where(own, -np.inf, got).T.astype(got.dtype, copy=False))
+            edge = np.partition(ranked, n - least, axis=1)[:, n - least]
+            q, lead = np.nonzero(ranked >= edge[:, None])
+            lead = lead[np.arange(len(q)) - np.searchsorted(q, q) < least].reshape(m, least)
+            exact = self._exact(lead.ravel(), np.repeat(queries, least, axis=0)).reshape(m, least).astype(np.float64)
+            exact[own[lead, np.arange(m)[:, None]]] = -np.inf
             reach = exact.min(axis=1)
             slack = 1e-6 * (1 + norms * (rest.max(initial=0.0) + 1))
             possible = ~own & (got + rest[:, None] * norms + slack >= reach)
