@@ -15,6 +15,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: The pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-KEPT = 250_000
+#: The same for ASCII texts, whose letters, digits and spaces are few enough to be named: the built-in engine is twice as fast.
+PLAIN_PATTERN = r" ?[A-Za-z]++|'(?:[sdmt]|re|ve|ll)| ?[0-9]++| ?[^\t-\r A-Za-z0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+KEPT = 400_000
 KEPT_LENGTH = 64
 _NONE = 1 << 62
 _PLACE = 1 << 32
@@ -39,6 +43,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encodes and decodes with one vocabulary file."""
 
@@ -63,12 +71,12 @@ class Codec:
             if split_special:
                 self.special[t["content"]] = t["id"]
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._words = regex.compile(PATTERN)
+        self._any, self._plain = regex.compile(PATTERN), re.compile(PLAIN_PATTERN)
         codec = self
 
         class Kept(dict):
             def __missing__(self, word: str) -> bytes:
-                ids = np.array(codec.merge([codec.id_of_byte[b] for b in word.encode()]), "<u4").tobytes()
+                ids = packed(codec.merge([codec.id_of_byte[b] for b in word.encode()]))
                 if len(word) <= KEPT_LENGTH:
                     if len(self) >= KEPT:
                         self.clear()
@@ -93,45 +101,53 @@ class Codec:
             a, b = tree[2 * i], tree[2 * i + 1]
             tree[i] = a if a < b else b
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(leaf: int, value: int) -> None:
-            i = size + leaf
-            tree[i] = value
-            while i > 1:
-                other = tree[i ^ 1]
-                least = value if value < other else other
-                i >>= 1
-                if tree[i] == least:
-                    return
-                tree[i] = value = least
-
+        get = merges.get
         while (root := tree[1]) != _NONE:
             i = root % _PLACE
             j = after[i]
-            ids[i] = merges[ids[i] << 32 | ids[j]][1]
+            ids[i] = merged = merges[ids[i] << 32 | ids[j]][1]
             ids[j] = -1
             k = after[i] = after[j]
+            h = before[i]
+            # the leaves that change: i's pair, the one before it, and j's, which is gone
+            low = mid = high = size + i
             if j < n - 1:
-                put(j, _NONE)
+                high = size + j
+                tree[high] = _NONE
             if k < n:
                 before[k] = i
-                found = merges.get(ids[i] << 32 | ids[k])
-                put(i, found[0] + i if found else _NONE)
+                found = get(merged << 32 | ids[k])
+                tree[mid] = found[0] + i if found else _NONE
             else:
-                put(i, _NONE)
-            if (h := before[i]) >= 0:
-                found = merges.get(ids[h] << 32 | ids[i])
-                put(h, found[0] + h if found else _NONE)
+                tree[mid] = _NONE
+            if h >= 0:
+                low = size + h
+                found = get(ids[h] << 32 | merged)
+                tree[low] = found[0] + h if found else _NONE
+            # their paths to the root, one level after the other; paths that have met go on as one
+            while mid > 1:
+                low >>= 1
+                mid >>= 1
+                high >>= 1
+                x, y = tree[2 * mid], tree[2 * mid + 1]
+                tree[mid] = x if x < y else y
+                if low != mid:
+                    x, y = tree[2 * low], tree[2 * low + 1]
+                    tree[low] = x if x < y else y
+                if high != mid:
+                    x, y = tree[2 * high], tree[2 * high + 1]
+                    tree[high] = x if x < y else y
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
         get = self.kept.__getitem__
-        if not (self._special and self._special.search(text)):
-            return b"".join(map(get, self._words.findall(text)))
+        words = (self._plain if text.isascii() else self._any).findall
+        if not any(s in text for s in self.special):
+            return b"".join(map(get, words(text)))
         out = []
         for part in self._special.split(text):
-            out.append(np.array([self.special[part]], "<u4").tobytes() if part in self.special else b"".join(map(get, self._words.findall(part))))
+            out.append(np.array([self.special[part]], "<u4").tobytes() if part in self.special else b"".join(map(get, words(part))))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -110,6 +110,12 @@ def test_bpe_is_the_library(byte_bpe, text):
         assert codec.decode(mine) == byte_bpe.decode(ids, skip_special_tokens=False) == t
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=127), max_size=40) | st.text("ab1 '\n\t\x1c\x1f.strevl", max_size=40))
+def test_bpe_of_ascii_is_the_library(byte_bpe, text):
+    assert np.frombuffer(bpe.codec().encode(text), "<u4").tolist() == byte_bpe.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_long_runs(byte_bpe):
     for t in ("a" * 30_000, "ab" * 9_000, " " * 5_000, "=" * 7_001):
         assert np.frombuffer(bpe.codec().encode(t), "<u4").tolist() == byte_bpe.encode(t, add_special_tokens=False).ids
