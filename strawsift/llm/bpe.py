@@ -30,7 +30,7 @@ DEFAULT_FILE = "byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for ASCII texts, whose letters, digits and spaces are few enough to be named: the built-in engine is twice as fast.
 PLAIN_PATTERN = r" ?[A-Za-z]++|'(?:[sdmt]|re|ve|ll)| ?[0-9]++| ?[^\t-\r A-Za-z0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-KEPT = 400_000
+KEPT = 250_000
 KEPT_LENGTH = 64
 _NONE = 1 << 62
 _PLACE = 1 << 32
