@@ -3,8 +3,8 @@
 1. All words (A-Z lower-cased, and an end for each document) of all training documents are counted; words are 64-bit hashes.
 2. The most frequent words are the model's head; all others belong to one of ``TAILS`` classes by their last letters. The class-factored
    softmax gives a head word's probability, and a tail word that of its class times its add-one share of the class's words.
-3. The recurrent model (recurrent.py) learns from a fixed share of the training documents, so what it learns from grows with the corpus:
-   shards of them train side by side from common weights, which are then averaged by the symbols that each has seen.
+3. The recurrent model (recurrent.py) learns from all training documents, dealt to the rounds: shards of a round's documents train side
+   by side from common weights, which are then averaged by the symbols that each has seen.
 4. Every document is scored whole, its state carried over all windows. Counts of the frequent words go to the tasks (at most
    ``KNOWN`` words); the others' are joined to the documents that have them, so the vocabulary may outgrow any task.
 
@@ -28,8 +28,8 @@ from .textkernel import Block, blocks, mix, text_bytes
 HEAD = 1024  # words of the model
 TAILS = 32
 KNOWN = 1_000_000  # the most words whose counts go to every task
-SHARE = 16  # each round learns from one training document in so many
 ROUNDS = 2
+SHARE = ROUNDS  # each round learns from one training document in so many; no document is left to none
 SHARD = 1500  # documents of a training shard
 FOLDS, HELD_OUT = 7, 2
 END = int(mix(np.array([0x656E64], np.uint64))[0])
@@ -129,6 +129,12 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return symbols, np.concatenate([[0], np.cumsum(lengths)])
 
 
+def lesson(docs: DataFrame, turn: int) -> DataFrame:
+    """The training documents that a round learns from."""
+    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE))
+    return docs.where(~held_out(F.col("doc_id")) & (lot == turn))
+
+
 def trained(docs: DataFrame, vocabulary: Vocabulary) -> Model:
     """The model after ROUNDS rounds of training on shards, averaged after each."""
     model = Model(vocabulary.head, vocabulary.tail_n)
@@ -136,9 +142,8 @@ def trained(docs: DataFrame, vocabulary: Vocabulary) -> Model:
         return model
     sc = docs.sparkSession.sparkContext
     words = sc.broadcast(vocabulary)
-    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE))
     for turn in range(ROUNDS):
-        picked = docs.where(~held_out(F.col("doc_id")) & (lot == turn)).select(F.col("text").cast("string"))
+        picked = lesson(docs, turn).select(F.col("text").cast("string"))
         shards = max(1, -(-picked.count() // SHARD))
         weights = sc.broadcast(model)
 

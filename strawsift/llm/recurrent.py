@@ -142,15 +142,24 @@ class Model:
         anew, from a state of zero."""
         p, n = self.p, self.hidden
         steps, texts = targets.shape
-        trace, states = [], []
+        fresh, whole = before == self.start, alive.all(axis=1)
+        begins = fresh.any(axis=1)
+        given = p["gates"][before] + p["bias"]
+        old, states = (np.empty((steps, texts, n), _f) for _ in range(2))
+        rz, new, gn = np.empty((steps, texts, 2 * n), _f), np.empty((steps, texts, n), _f), np.empty((steps, texts, n), _f)
         for t in range(steps):
-            h = np.where((before[t] == self.start)[:, None], _f(0), h)
-            new = self._step(before[t], h)
-            trace.append((h, *new[1:]))
-            h = np.where(alive[t][:, None], new[0], h)
-            states.append(h)
+            if begins[t]:
+                h = np.where(fresh[t][:, None], _f(0), h)
+            old[t] = h
+            a, g = given[t], h @ p["state"]
+            gn[t] = g[:, 2 * n :]
+            rz[t] = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
+            np.tanh(a[:, 2 * n :] + rz[t, :, :n] * gn[t], out=new[t])
+            after = new[t] + rz[t, :, n:] * (h - new[t])
+            h = after if whole[t] else np.where(alive[t][:, None], after, h)
+            states[t] = h
         rows = np.flatnonzero(alive.ravel())
-        held, y = np.concatenate(states)[rows], targets.ravel()[rows]
+        held, y = states.reshape(-1, n)[rows], targets.ravel()[rows]
         total = max(1, len(rows))
         g = {name: np.zeros_like(x) for name, x in p.items()}
         logit = held @ p["to_class"] + p["class_bias"]
@@ -175,30 +184,34 @@ class Model:
         dstates = np.zeros((steps * texts, n), _f)
         dstates[rows] = dheld
         dstates = dstates.reshape(steps, texts, n)
-        dh = np.zeros((texts, n), _f)
-        given = np.empty((steps, texts, 3 * n), _f)
+        r, z = rz[..., :n], rz[..., n:]
+        dn = (1 - z) * (1 - new * new)
+        slopes = np.stack([dn * gn * r * (1 - r), (old - new) * z * (1 - z), dn * r], axis=2)  # of the gates' inputs, by the state's
+        dh, d, dg = np.zeros((texts, n), _f), np.empty((steps, texts, n), _f), np.empty((steps, texts, 3, n), _f)
+        back = p["state"].T.copy()
         for t in reversed(range(steps)):
-            live = alive[t][:, None]
-            old, r, z, new, gn = trace[t]
-            dh = dh + dstates[t]
-            d = np.where(live, dh, 0)
-            dn = d * (1 - z) * (1 - new * new)
-            dr = dn * gn * r * (1 - r)
-            dz = d * (old - new) * z * (1 - z)
-            given[t] = np.concatenate([dr, dz, dn], axis=1)
-            dg = np.concatenate([dr, dz, dn * r], axis=1)
-            g["state"] += old.T @ dg
-            dh = np.where(live, d * z + dg @ p["state"].T, dh)
-            dh[before[t] == self.start] = 0
-        g["bias"] = given.sum(axis=(0, 1))
-        np.add.at(g["gates"], before.ravel(), given.reshape(-1, 3 * n))
+            dh += dstates[t]
+            d[t] = dh if whole[t] else np.where(alive[t][:, None], dh, 0)
+            np.multiply(d[t][:, None], slopes[t], out=dg[t])
+            through = d[t] * z[t] + dg[t].reshape(texts, 3 * n) @ back
+            dh = through if whole[t] else np.where(alive[t][:, None], through, dh)
+            if begins[t]:
+                dh[fresh[t]] = 0
+        g["state"] = old.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+        dg[:, :, 2] = d * dn
+        given = dg.reshape(-1, 3 * n)
+        g["bias"] = given.sum(axis=0)
+        order = np.argsort(before, axis=None, kind="stable")
+        used = before.ravel()[order]
+        edges = np.flatnonzero(np.diff(used, prepend=-1))
+        g["gates"][used[edges]] = np.add.reduceat(given[order], edges)
         return g, h, loss
 
     def train(self, symbols: np.ndarray, first: np.ndarray, lanes: int = 32, rate: float = 0.05, updates: int = 400, passes: int = 4) -> tuple[int, float]:
         """Learn from some texts; (symbols in a pass, loss of the last pass). The texts stand in ``lanes`` side by side, one after the other,
         each from a state of zero; a lane's state is carried over its windows. Passes go on until ``updates`` are made, but no more than ``passes``."""
         past = {name: np.full(x.shape, 1e-4, _f) for name, x in self.p.items()}
-        before = np.concatenate([[self.start], symbols[:-1]]) if len(symbols) else symbols
+        before = np.concatenate([np.array([self.start], symbols.dtype), symbols[:-1]]) if len(symbols) else symbols
         before[first[:-1][np.diff(first) > 0]] = self.start
         steps = -(-len(symbols) // lanes)
         lane = np.arange(lanes) * steps
@@ -214,6 +227,8 @@ class Model:
                 g, h, cost = self.gradients(before[at], symbols[at], alive, h)
                 made, loss = made + 1, loss + cost
                 for name, x in g.items():
-                    past[name] += x * x
-                    self.p[name] -= _f(rate) * x / np.sqrt(past[name])
+                    rows = np.unique(before[at]) if name == "gates" else slice(None)  # other rows have no gradient: nothing of them changes
+                    x = x[rows]
+                    past[name][rows] += x * x
+                    self.p[name][rows] -= _f(rate) * x / np.sqrt(past[name][rows])
         return len(symbols), loss

@@ -258,6 +258,12 @@ def test_language_model_query(spark, edge, edge_rows, clashing, empty, known, mo
     assert lm.scored(empty).count() == 0
 
 
+def test_the_rounds_learn_from_every_training_document(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", None) for i in range(400)], DOCS)
+    seen = sorted(r["doc_id"] for turn in range(lm.ROUNDS) for r in lm.lesson(docs, turn).collect())
+    assert seen == [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+
+
 def test_the_model_beats_its_base_on_held_out_texts(spark):
     """Texts whose every word depends on the one before."""
     r = random.Random(2)
