@@ -103,6 +103,13 @@ def value_to_index_file(s: SparkSession, d: str) -> DataFrame:
     return _col(inverted.ceiling(asked.unionByName(s.range(1).select(F.lit("user_id").alias("column"), F.lit("~").alias("value"))), _root(s, d)))
 
 
+def value_to_index_file_all(s: SparkSession, d: str) -> DataFrame:
+    """The file of every value of every column, and that of a value past the end of each."""
+    asked = lake(s, d).select("column", "value").distinct()
+    past = asked.groupBy("column").agg(F.concat(F.max("value"), F.lit("~")).alias("value"))
+    return _col(inverted.ceiling(asked.unionByName(past), _root(s, d)))
+
+
 def root_upsert(s: SparkSession, d: str) -> DataFrame:
     """New ranges for the first file of each column."""
     root = _root(s, d).select("column", "index_file", "min", "max")
@@ -191,6 +198,7 @@ def queries() -> dict[str, Query]:
         "root_index": root_index,
         "section_zone_map": section_zone_map,
         "value_to_index_file": value_to_index_file,
+        "value_to_index_file_all": value_to_index_file_all,
         "root_upsert": root_upsert,
         "needle_or": _ask((ERROR, USER)),
         "needle_and": _ask((ERROR, USER), "And"),
@@ -229,6 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "root_index": f"WITH {e}, {ranked} SELECT col, k // {CHUNK_ROWS} AS chunk, min(value) AS min, max(value) AS max, count(*) AS n_rows FROM r GROUP BY ALL",
         "section_zone_map": f"WITH {e}, {ranked} SELECT col, k // {CHUNK_ROWS + 1} AS section, min(value) AS min, max(value) AS max, count(*) AS n_rows FROM r GROUP BY ALL",
         "value_to_index_file": f"WITH {e}, {ranked}, {root}, a AS (SELECT DISTINCT col, value FROM e WHERE col = 'user_id' AND value LIKE '%0' UNION ALL SELECT 'user_id', '~') SELECT a.col, a.value, coalesce((SELECT CAST(arg_min(chunk, max) AS VARCHAR) FROM root WHERE root.col = a.col AND root.max >= a.value), '{inverted.END_OF_INDEX}') AS index_file FROM a",
+        "value_to_index_file_all": f"WITH {e}, {ranked}, {root}, a AS (SELECT col, value FROM v UNION ALL SELECT col, max(value) || '~' FROM v GROUP BY col) SELECT a.col, a.value, coalesce((SELECT CAST(arg_min(chunk, max) AS VARCHAR) FROM root WHERE root.col = a.col AND root.max >= a.value), '{inverted.END_OF_INDEX}') AS index_file FROM a",
         "root_upsert": f"WITH {e}, {ranked}, {root} SELECT col, CAST(chunk AS VARCHAR) AS index_file, CASE WHEN chunk = 0 THEN '' ELSE min END AS min, CASE WHEN chunk = 0 THEN max || '~' ELSE max END AS max FROM root",
         "needle_or": ask((ERROR, USER)),
         "needle_and": ask((ERROR, USER), "HAVING count(*) = 2"),

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from strawsift.operators import inverted
 from strawsift.plans import lake
 
 DATA = "/root/testdata/sf0.001"
@@ -31,6 +32,17 @@ def test_lake_queries_match_their_sql(spark, duck, name):
     assert key(tuple(r) for r in mine.select(columns).collect()) == key(theirs.select(*columns).fetchall())
 
 
+def test_every_value_of_the_lake_is_looked_up(spark):
+    root = {}
+    for r in lake.root_index(spark, DATA).collect():
+        root.setdefault(r["col"], []).append((r["max"], str(r["chunk"])))
+    asked = {(r["column"], r["value"]) for r in lake.lake(spark, DATA).select("column", "value").distinct().collect()}
+    asked |= {(c, max(v for k, v in asked if k == c) + "~") for c in root}
+    truth = {(c, v, min(((m, f) for m, f in root[c] if m >= v), default=("", inverted.END_OF_INDEX))[1]) for c, v in asked}
+    assert {c for c, _ in asked} == {c for *_, columns in lake.LAYOUT for c in columns}
+    assert sorted(map(tuple, lake.queries()["value_to_index_file_all"](spark, DATA).select("col", "value", "index_file").collect())) == sorted(truth)
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["FileName", "HitValues"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
