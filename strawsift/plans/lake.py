@@ -145,9 +145,9 @@ def cardinality_hll(s: SparkSession, d: str) -> DataFrame:
     return exact.join(made, "key").select("key", "exact", within.alias("within_3pct"))
 
 
-def frequency_cms(s: SparkSession, d: str) -> DataFrame:
-    """Estimates of lang and source, from sketches of two halves, merged."""
-    rows = materialised(facts(s, d).where("key IN ('lang', 'source')"))
+def _estimated(rows: DataFrame) -> DataFrame:
+    """Estimates from sketches of two halves, merged, against exact counts."""
+    rows = materialised(rows)
     half = F.pmod(F.xxhash64("file"), F.lit(2))
     parts = metadata.sketched(rows.where(half == 0)).unionByName(metadata.sketched(rows.where(half == 1)))
     made = sketches.cms_estimates(rows, sketches.cms_merged(parts))
@@ -155,6 +155,16 @@ def frequency_cms(s: SparkSession, d: str) -> DataFrame:
     return exact.join(made, ["key", "value"]).select("key", "value", "exact", (F.col("estimate") >= F.col("exact")).alias("est_ge_exact"))
 
 
+def frequency_cms(s: SparkSession, d: str) -> DataFrame:
+    """Of lang and source."""
+    return _estimated(facts(s, d).where("key IN ('lang', 'source')"))
+
+
+def frequency_cms_all(s: SparkSession, d: str) -> DataFrame:
+    """Of every key."""
+    return _estimated(facts(s, d))
+
+
 def frequency_exact(s: SparkSession, d: str) -> DataFrame:
     return facts(s, d).groupBy("key", "value").agg(F.count("*").alias("n"))
 
@@ -210,6 +220,7 @@ def queries() -> dict[str, Query]:
         "metadata_grouping": metadata_grouping,
         "cardinality_hll": cardinality_hll,
         "frequency_cms": frequency_cms,
+        "frequency_cms_all": frequency_cms_all,
         "frequency_exact": frequency_exact,
         "batch_metrics": batch_metrics,
         "log_pairing": log_pairing,
@@ -249,6 +260,7 @@ def oracle_sql() -> dict[str, str]:
         "metadata_grouping": f"WITH {m} SELECT key, count(*) AS n_values, count(DISTINCT value) AS n_distinct FROM m GROUP BY key",
         "cardinality_hll": f"WITH {m} SELECT key, count(DISTINCT value) AS exact, TRUE AS within_3pct FROM m GROUP BY key",
         "frequency_cms": f"WITH {m} SELECT key, value, count(*) AS exact, TRUE AS est_ge_exact FROM m WHERE key IN ('lang', 'source') GROUP BY ALL",
+        "frequency_cms_all": f"WITH {m} SELECT key, value, count(*) AS exact, TRUE AS est_ge_exact FROM m GROUP BY ALL",
         "frequency_exact": f"WITH {m} SELECT key, value, count(*) AS n FROM m GROUP BY ALL",
         "batch_metrics": "SELECT count(DISTINCT doc_id % 16) AS n_files, CAST(sum(n_chars) AS BIGINT) AS total FROM documents",
         "log_pairing": "SELECT b.event_id // 2 AS id, b.event_type AS type, (epoch_us(b.ts) - epoch_us(a.ts)) / 1000000 AS duration_s, b.user_id % 5 AS n FROM events a JOIN events b ON a.event_id % 2 = 0 AND b.event_id = a.event_id + 1 AND (a.ts, a.event_id) < (b.ts, b.event_id) WHERE b.user_id % 5 <> 0",

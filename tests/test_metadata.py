@@ -38,6 +38,20 @@ def test_estimates_are_within_their_bounds(spark, rows):
     assert metadata.frequency(stored, "a", "a1").first()["Frequency"] >= exact["a", "a1"]
 
 
+def test_estimates_on_executors_are_those_of_the_class(spark, monkeypatch):
+    values = ["", "a", "ab", "abc", "abcd", "abcde", "12345678", "é漢😀", "ÿ\x80", "x" * 301, *map(str, range(60))]
+    rows = spark.createDataFrame([("f", k, v) for n, v in enumerate(values) for k in "pq"[: 1 + n % 2] for _ in range(1 + n % 4)], ROWS)
+    stored = metadata.sketched(rows)
+    held = {r["key"]: bytes(r["cms"]) for r in stored.collect()}
+    asked = rows.unionByName(spark.createDataFrame([("f", "p", "never seen"), ("f", "no", "a"), ("f", "p", None)], ROWS))
+    wanted = {(k, v) for k in "pq" for n, v in enumerate(values) if k in "pq"[: 1 + n % 2]} | {("p", "never seen")}
+    truth = sorted((k, v, sketches.cms_estimate(spark, held[k], v)) for k, v in wanted)
+    with monkeypatch.context() as patched:
+        patched.setattr(type(rows), "collect", lambda self: pytest.fail("rows are collected"))
+        made = sketches.cms_estimates(asked, stored)
+    assert sorted(map(tuple, made.collect())) == truth
+
+
 def test_missing_keys_and_values(spark, rows):
     stored = metadata.sketched(rows)
     assert metadata.cardinality(stored, "no").collect() == []
