@@ -207,28 +207,24 @@ class Model:
         g["gates"][used[edges]] = np.add.reduceat(given[order], edges)
         return g, h, loss
 
-    def train(self, symbols: np.ndarray, first: np.ndarray, lanes: int = 32, rate: float = 0.05, updates: int = 400, passes: int = 4) -> tuple[int, float]:
-        """Learn from some texts; (symbols in a pass, loss of the last pass). The texts stand in ``lanes`` side by side, one after the other,
-        each from a state of zero; a lane's state is carried over its windows. Passes go on until ``updates`` are made, but no more than ``passes``."""
+    def train(self, symbols: np.ndarray, first: np.ndarray, lanes: int = 32, rate: float = 0.05) -> tuple[int, float]:
+        """Learn from some texts in one pass, however many they are; (symbols, loss). The texts stand in ``lanes`` side by side, one after
+        the other, each from a state of zero; a lane's state is carried over its windows."""
         past = {name: np.full(x.shape, 1e-4, _f) for name, x in self.p.items()}
         before = np.concatenate([np.array([self.start], symbols.dtype), symbols[:-1]]) if len(symbols) else symbols
         before[first[:-1][np.diff(first) > 0]] = self.start
         steps = -(-len(symbols) // lanes)
         lane = np.arange(lanes) * steps
-        made, loss = 0, 0.0
-        for _ in range(passes if len(symbols) else 0):
-            if made >= updates:
-                break
-            h, loss = np.zeros((lanes, self.hidden), _f), 0.0
-            for t in range(0, steps, WINDOW):
-                u = np.arange(t, min(t + WINDOW, steps))[:, None]
-                alive = (lane + u) < len(symbols)
-                at = np.where(alive, lane + u, 0)
-                g, h, cost = self.gradients(before[at], symbols[at], alive, h)
-                made, loss = made + 1, loss + cost
-                for name, x in g.items():
-                    rows = np.unique(before[at]) if name == "gates" else slice(None)  # other rows have no gradient: nothing of them changes
-                    x = x[rows]
-                    past[name][rows] += x * x
-                    self.p[name][rows] -= _f(rate) * x / np.sqrt(past[name][rows])
+        h, loss = np.zeros((lanes, self.hidden), _f), 0.0
+        for t in range(0, steps, WINDOW):
+            u = np.arange(t, min(t + WINDOW, steps))[:, None]
+            alive = (lane + u) < len(symbols)
+            at = np.where(alive, lane + u, 0)
+            g, h, cost = self.gradients(before[at], symbols[at], alive, h)
+            loss += cost
+            for name, x in g.items():
+                rows = np.unique(before[at]) if name == "gates" else slice(None)  # other rows have no gradient: nothing of them changes
+                x = x[rows]
+                past[name][rows] += x * x
+                self.p[name][rows] -= _f(rate) * x / np.sqrt(past[name][rows])
         return len(symbols), loss

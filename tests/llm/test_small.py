@@ -213,6 +213,16 @@ def test_gradients(monkeypatch):
             assert abs((ends[0] - ends[1]) / 2e-5 / alive.sum() - slope[i]) < 1e-5
 
 
+@pytest.mark.parametrize("texts", [1, 20, 700])
+def test_training_passes_once_over_few_texts_as_over_many(texts, monkeypatch):
+    m, made = R.Model(np.arange(200, 0, -1.0), np.ones(4)), []
+    symbols = np.random.default_rng(3).integers(0, 204, texts * 40)
+    whole = m.gradients
+    monkeypatch.setattr(m, "gradients", lambda before, y, alive, h: made.append(alive.sum()) or whole(before, y, alive, h))
+    m.train(symbols, np.arange(0, texts * 40 + 1, 40))
+    assert sum(made) == len(symbols)
+
+
 def test_scores_carry_the_state_over_whole_texts():
     m = R.Model(np.arange(200, 0, -1.0), np.ones(4))
     random_ = np.random.default_rng(1)
