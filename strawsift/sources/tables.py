@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import present
@@ -17,7 +17,8 @@ from ..functions.text import present
 ENTRIES = "column string, value string, file string"
 #: Headers of at most so many files are broadcast to the rows; beyond it the join shuffles.
 BROADCAST_FILES = 100_000
-NESTED_ARRAYS = 3  # arrays within arrays, down to this depth, whose objects are rows
+NESTED_ARRAYS = 3  # arrays within arrays that are opened row by row; deeper ones are opened within a row
+PARSER_DEPTH = 1000
 
 
 def _file():
@@ -58,6 +59,17 @@ def csv_entries(spark: SparkSession, paths: list[str], multiline: bool = False)
     return pairs.select("p.column", "p.value", "file").where(F.col("column").isNotNull() & present(F.col("value")))
 
 
+def _is_array(item) -> Column:
+    return F.schema_of_variant(item).startswith("ARRAY")
+
+
+def _flat(items: Column) -> Column:
+    """An array of variants with the items of arrays within it in their place, however deep: the parser takes no deeper nesting."""
+    opened = lambda x: F.when(_is_array(x), x.cast("array<variant>")).otherwise(F.array(x))
+    step = lambda held, _: F.when(F.exists(held, _is_array), F.flatten(F.transform(held, opened))).otherwise(held)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(PARSER_DEPTH)), items, step)
+
+
 def json_entries(spark: SparkSession, paths: list[str], json_literal: bool = False) -> DataFrame:
     """The scalars of all objects: of one object, an array of them, arrays within arrays, or an object a line. ``json_literal``: values as
     JSON spells them (strings in quotes, so that an empty one counts); else as text."""
@@ -65,6 +77,7 @@ def json_entries(spark: SparkSession, paths: list[str], json_literal: bool = Fal
     for _ in range(NESTED_ARRAYS):
         flat = F.when(F.schema_of_variant("item").startswith("ARRAY"), F.expr("CAST(item AS ARRAY<VARIANT>)")).otherwise(F.array("item"))
         items = items.select("file", F.explode(flat).alias("item")).where("item IS NOT NULL")
+    items = items.select("file", F.explode(F.when(_is_array("item"), _flat(F.array("item"))).otherwise(F.array("item"))).alias("item"))
     objects = items.where(F.schema_of_variant("item").startswith("OBJECT"))
     cells = objects.select("file", F.explode(F.col("item").cast("map<string,variant>")).alias("column", "v")).where("v IS NOT NULL")
     kind = F.schema_of_variant("v")

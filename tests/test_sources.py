@@ -63,6 +63,12 @@ def test_json(spark, tmp_path, text, expected):
     assert cells(tables.entries(spark, write(tmp_path, x__json=text))) == expected
 
 
+@pytest.mark.parametrize("depth", [3, 4, 5, 40, 900])
+def test_objects_are_found_in_arrays_of_any_depth(spark, tmp_path, depth):
+    text = "[" * depth + '{"a":1},null,[{"b":[2]},{"c":"x"}]' + "]" * depth
+    assert cells(tables.entries(spark, write(tmp_path, x__json=text))) == [("a", "1"), ("c", "x")]
+
+
 def test_json_literals_keep_their_quotes(spark, tmp_path):
     paths = write(tmp_path, x__json='{"a":"x","b":"","c":true}')
     assert cells(tables.json_entries(spark, paths, json_literal=True)) == [("a", '"x"'), ("b", '""'), ("c", "true")]
