@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of rows that a side may have to be broadcast; beyond it the join shuffles.
@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """The session's own checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The session's own checkpoint folder; a temporary one where a session on one machine names none (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not shared:
             shared = tempfile.mkdtemp(prefix="strawsift-checkpoint-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
@@ -38,10 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows, counted as they are written. A task that is run again counts again: the number is never too
+    small."""
+    seen = Observation()
+    df = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return df, seen.get.get("rows", 0)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, computed, with a broadcast hint if it has at most ``rows`` rows; else left to a shuffled join."""
-    df = cut(df)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    df, n = counted(df)
+    return F.broadcast(df) if n <= rows else df
 
 
 def same(a: Column, b: Column) -> Column:

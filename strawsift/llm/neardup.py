@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, same, small_side
+from .common import counted, cut, same, small_side
 from .components import components
 from .textkernel import Block, blocks, grams, mix, text_bytes
 
@@ -160,29 +160,27 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def linked(nodes: DataFrame, docs: DataFrame, k: int, percent: int, ties: DataFrame | None = None) -> DataFrame:
-    """(node, component) of the representatives ``nodes`` (_id, n_shingles, _bands) that link with another. ``ties``: links
-    (a, b) that are known."""
+    """(node, component) of the representatives ``nodes`` (_id, n_shingles, _bands). ``ties``: links (a, b) that are known."""
     member = nodes.select(F.col("_id").alias("a"), "n_shingles", F.explode("_bands").alias("_key"))
     heads = cut(member.groupBy("_key").agg(F.min("a").alias("b"), F.count("*").alias("_n")).where("_n > 1"))
     heads = heads.withColumnRenamed("_key", "_hk")
     shared = member.join(heads, F.col("_key") == F.col("_hk")).drop("_hk")
-    first = cut(shared.where("a <> b").select("a", "b").distinct())
-    links = verified(first, docs, k, percent)
-    links = cut(links if ties is None else links.unionByName(ties))
-    joined = components(links)
+    links = verified(shared.where("a <> b").select("a", "b").distinct(), docs, k, percent)
+    joined = cut(components(links if ties is None else links.unionByName(ties)))
 
     labelled = shared.where("_n > 2").join(joined, F.col("a") == F.col("node"), "left").select("_key", "a", "n_shingles", F.coalesce("component", "a").alias("_c"))
     labelled = cut(labelled)
     split = cut(labelled.groupBy(F.col("_key").alias("_sk")).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi"))
-    inside = cut(labelled.join(split, F.col("_key") == F.col("_sk")).select("a", "n_shingles", "_c", "_lo").distinct())
-    if not inside.limit(1).count():
-        return joined
-    return components(links.unionByName(crossing(inside, docs, k, percent)))
+    inside, left = counted(labelled.join(split, F.col("_key") == F.col("_sk")).select("a", "n_shingles", "_c", "_lo").distinct())
+    first = nodes.select(F.col("_id").alias("_node")).distinct().join(joined, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("component", "_node").alias("_first"))
+    if not left:
+        return first.toDF("node", "component")
+    more = components(crossing(inside, docs, k, percent))  # of the components
+    return first.join(more, F.col("_first") == F.col("node"), "left").select(F.col("_node").alias("node"), F.coalesce("component", "_first").alias("component"))
 
 
 def crossing(inside: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between components that meet in a bucket: all pairs of them are covered, one link a pair of row and component
-    is returned. ``inside``: rows a of such buckets with n_shingles, their component _c and the least component _lo of the bucket.
+    """Pairs (a, b) of components that link, of those that meet in a bucket: all pairs of their rows are covered. ``inside``: rows a of such buckets with n_shingles, their component _c and the least component _lo of the bucket.
 
     Components that meet, directly or over others, are a family. The rows of a family outside its largest component are held
     against all of it by an inverted index over full sets, in tasks of about CHUNK shingles on either side.
@@ -226,7 +224,7 @@ def crossing(inside: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _links(xs: list[tuple], ys: list[tuple], k: int, percent: int) -> tuple[list, list]:
-    """Of rows (id, component, text): for each x and each other component that it links with, one y of it."""
+    """Of rows (id, component, text): the component of each x, and each other one that it links with."""
     sets = [shingles(b, k) for t in (xs, ys) for _, _, b in blocks([(r[2] or "").encode() for r in t], lower=True, size=1 << 62)]
     if len(sets) < 2:
         return [], []
@@ -245,8 +243,8 @@ def _links(xs: list[tuple], ys: list[tuple], k: int, percent: int) -> tuple[list
         union = at[i + 1] - at[i] + size - shared
         hit = np.flatnonzero((shared > 0) & (100 * shared >= percent * union) & (group != names.get(row[1], -1)))
         for j in hit[np.unique(group[hit], return_index=True)[1]]:
-            a.append(row[0])
-            b.append(ys[j][0])
+            a.append(row[1])
+            b.append(ys[j][1])
     return a, b
 
 
@@ -258,12 +256,12 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS,
     at = reps.select(F.col("_sa").alias("_ra"), F.col("_sb").alias("_rb"), "_rep")
     mine = (F.col("_sa") == F.col("_ra")) & (F.col("_sb") == F.col("_rb"))
     nodes = cut(full.join(at, mine & (F.col("_id") == F.col("_rep"))).select("_id", "n_shingles", "_bands").dropDuplicates(["_id", "_bands"]))
-    many = cut(full.groupBy(F.col("_id").alias("b")).agg(F.countDistinct("_sa", "_sb").alias("_n")).where("_n > 1").select("b"))
+    many, several = counted(full.groupBy(F.col("_id").alias("b")).agg(F.min(F.struct("_sa", "_sb")).alias("_lo"), F.max(F.struct("_sa", "_sb")).alias("_hi")).where("_lo <> _hi").select("b"))
     ties = None
-    if many.limit(1).count():  # an id that has several sets ties them together
+    if several:  # an id that has several sets ties them together
         ties = full.join(at, mine).select(F.col("_rep").alias("a"), F.col("_id").alias("b")).join(many, "b").select("a", "b").distinct()
     by_id = linked(nodes, docs, k, percent, ties)
-    named = cut(at.join(by_id, F.col("_rep") == F.col("node"), "left").select("_ra", "_rb", F.coalesce("component", "_rep").alias("component")))
+    named = cut(at.join(by_id, F.col("_rep") == F.col("node")).select("_ra", "_rb", "component"))
     return base.join(named, mine & (F.col("n_shingles") > 0) & F.col("_id").isNotNull(), "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))
 
 
@@ -278,8 +276,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = cut(classes(docs, k, percent))
     gone = small_side(found.where("component <> _id").select(F.col("_id").alias("_gone")).distinct())
     kept = docs.join(gone, same(docs["doc_id"], gone["_gone"]), "left_anti")
-    many = cut(found.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 AND _id IS NOT NULL").select(F.col("_id").alias("_many")))
-    if not many.limit(1).count():
+    many, repeated = counted(found.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 AND _id IS NOT NULL").select(F.col("_id").alias("_many")))
+    if not repeated:
         return kept
     once = kept.join(many, kept["doc_id"] == many["_many"], "left_anti")
     rows = kept.join(many, kept["doc_id"] == many["_many"], "left_semi").select(F.struct(*[kept[c] for c in docs.columns]).alias("_row"))

@@ -47,8 +47,8 @@ def test_queries_match_their_sql(spark, duck, name):
 
 
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
-def test_components(spark, links):
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30), st.sampled_from([0, 3, 1 << 20]))
+def test_components(spark, links, last):
     up = {x: x for pair in links for x in pair}
 
     def root(x):
@@ -57,14 +57,16 @@ def test_components(spark, links):
     for a, b in links:
         a, b = sorted((root(a), root(b)))
         up[b] = a
-    found = components(spark.createDataFrame(links, "a long, b long"))
-    assert {r["node"]: r["component"] for r in found.collect()} == {x: root(x) for x in up}
+    found = components(spark.createDataFrame(links, "a long, b long"), last=last).collect()
+    assert {r["node"]: r["component"] for r in found} == {x: root(x) for x in up}
+    assert len(found) == len(up)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("last", [0, 50, 1 << 20])
+def test_components_of_a_long_path(spark, last):
     order = list(range(400))
     random.Random(1).shuffle(order)
-    found = components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long"))
+    found = components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long"), last=last)
     assert found.where("component = 0").count() == 400
 
 
@@ -78,8 +80,10 @@ def test_near_duplicates(edge, edge_rows, clashing, k, percent):
     assert key(neardup.report(clashing, k, percent).collect()) == truth
 
 
-def test_families_of_near_copies(spark):
+@pytest.mark.parametrize("last", [0, 1 << 20])
+def test_families_of_near_copies(spark, monkeypatch, last):
     """Copies of a text at all distances, so that buckets hold many components; some link with no bucket's least member."""
+    monkeypatch.setattr(neardup, "components", lambda links: components(links, last=last))
     rows, n = [], 0
     for family in range(3):
         base = prose(50 + family, 150)
