@@ -5,7 +5,8 @@
    softmax gives a head word's probability, and a tail word that of its class times its add-one share of the class's words.
 3. The recurrent model (recurrent.py) learns from all training documents, dealt to the rounds: shards of a round's documents train side
    by side from common weights, which are then averaged by the symbols that each has seen.
-4. Every document is scored whole, its state carried over all windows. Counts of the frequent words go to the tasks (at most
+4. Texts are turned into symbols once and written; training and scoring read those. A document's shard, and its place there, follow from a
+   hash of its id and text. Every document is scored whole, its state carried over all windows. Counts of the frequent words go to the tasks (at most
    ``KNOWN`` words); the others' are joined to the documents that have them, so the vocabulary may outgrow any task.
 
 The base score is that of the add-one unigram model. A null text counts as empty: it has its end alone. A null id counts as the empty string
@@ -31,6 +32,7 @@ KNOWN = 1_000_000  # the most words whose counts go to every task
 ROUNDS = 2
 SHARE = ROUNDS  # each round learns from one training document in so many; no document is left to none
 SHARD = 1500  # documents of a training shard
+TOGETHER = 1 << 20  # symbols of a shard that are held at once, and those of one more batch
 FOLDS, HELD_OUT = 7, 2
 END = int(mix(np.array([0x656E64], np.uint64))[0])
 _LOG10 = float(np.log(10))
@@ -122,48 +124,95 @@ class Vocabulary:
         return np.where(hit, self.n[at], 0), np.where(symbol >= 0, symbol, len(self.head) + tails).astype(np.int64)
 
 
-def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and first places of several blocks' texts as those of one."""
-    symbols = np.concatenate([s for s, _ in parts]) if parts else np.zeros(0, np.int64)
-    lengths = np.concatenate([np.diff(f) for _, f in parts]) if parts else np.zeros(0, np.int64)
-    return symbols, np.concatenate([[0], np.cumsum(lengths)])
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """A row for each document, in place of its text: doc_id, held_out, _h (hash of id and text), symbols (16-bit integers), n_tokens,
+    n_known, base_score, left (what the model leaves to the counts: the shares of tail words in their classes) and rare, the
+    hashes of words that aren't among the known."""
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    every = vocabulary.total + vocabulary.distinct + 1
+    whole = vocabulary.least <= 1
+    given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.xxhash64("doc_id", "text").alias("_h"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = words.value
+        spread = np.concatenate([np.zeros(len(v.head)), np.log10(v.tail_n + v.tail_words + 1)])
+        for batch in batches:
+            for start, stop, b in blocks(text_bytes(batch.column(3)), lower=True):
+                hashes, tails, first = _tokens(b)
+                n, symbols = v.look_up(hashes, tails)
+                owner = np.repeat(np.arange(b.n), np.diff(first))
+                add = lambda x, owner=owner, b=b: np.bincount(owner, weights=x, minlength=b.n)
+                share = np.log10(n + 1)
+                left = np.where(symbols >= len(v.head), share - spread[symbols], 0.0)
+                unknown = np.flatnonzero(n == 0) if not whole else np.zeros(0, np.int64)
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[unknown], np.arange(b.n + 1)).astype(np.int32)), pa.array(hashes[unknown].view(np.int64)))
+                coded = symbols.astype("<u2").tobytes()
+                at = (2 * first).tolist()
+                part = batch.slice(start, stop - start)
+                made = [
+                    pa.array([coded[i:j] for i, j in zip(at, at[1:], strict=False)], pa.binary()),
+                    pa.array(np.diff(first).astype(np.int64)),
+                    pa.array(add(n > 0).astype(np.int64)),
+                    pa.array(add(share) - np.diff(first) * np.log10(every)),
+                    pa.array(add(left)),
+                    rare,
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *made], names=["doc_id", "held_out", "_h", *CODED])
+
+    kind = given.schema["doc_id"].dataType.simpleString()
+    return given.mapInArrow(run, f"doc_id {kind}, held_out boolean, _h long, symbols binary, n_tokens long, n_known long, base_score double, left double, rare array<long>")
+
+
+CODED = ("symbols", "n_tokens", "n_known", "base_score", "left", "rare")
 
 
-def lesson(docs: DataFrame, turn: int) -> DataFrame:
-    """The training documents that a round learns from."""
-    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(SHARE))
-    return docs.where(~held_out(F.col("doc_id")) & (lot == turn))
+def _texts(symbols: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of a column's texts, one after the other, and where each text's begin."""
+    given = symbols.to_pylist()
+    return np.frombuffer(b"".join(given), "<u2").astype(np.int32), np.concatenate([[0], np.cumsum(np.fromiter(map(len, given), np.int64, len(given)) // 2)])
 
 
-def trained(docs: DataFrame, vocabulary: Vocabulary) -> Model:
-    """The model after ROUNDS rounds of training on shards, averaged after each."""
+def lesson(rows: DataFrame, turn: int) -> DataFrame:
+    """The ``encoded`` training documents that a round learns from."""
+    return rows.where(~F.col("held_out") & (F.pmod("_h", F.lit(SHARE)) == turn))
+
+
+def trained(rows: DataFrame, vocabulary: Vocabulary) -> Model:
+    """The model after ROUNDS rounds of training on shards of ``encoded`` documents, averaged after each. A document's shard and place in it
+    follow from its hash, so the files' layout makes no difference."""
     model = Model(vocabulary.head, vocabulary.tail_n)
     if not vocabulary.total:
         return model
-    sc = docs.sparkSession.sparkContext
-    words = sc.broadcast(vocabulary)
+    sc = rows.sparkSession.sparkContext
+    words = sc.broadcast((vocabulary.head, vocabulary.tail_n))
+    sizes = {r["turn"]: r["count"] for r in rows.where(~F.col("held_out")).groupBy(F.pmod("_h", F.lit(SHARE)).alias("turn")).count().collect()}
     for turn in range(ROUNDS):
-        picked = lesson(docs, turn).select(F.col("text").cast("string"))
-        shards = max(1, -(-picked.count() // SHARD))
-        weights = sc.broadcast(model)
+        weights = sc.broadcast(model.flat())
+
+        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            own, seen, past, held, waiting = Model(*words.value), 0, {}, [], 0
+            own.take(weights.value)
+
+            def learn() -> int:
+                symbols = np.concatenate([s for s, _ in held])
+                lengths = np.concatenate([np.diff(f) for _, f in held])
+                return own.train(symbols, np.concatenate([[0], np.cumsum(lengths)]), past=past)[0]
 
-        def run(batches: Iterator[pa.RecordBatch], words=words, weights=weights) -> Iterator[pa.RecordBatch]:
-            own, parts = None, []
             for batch in batches:
-                for _, _, b in blocks(text_bytes(batch.column(0)), lower=True):
-                    hashes, tails, first = _tokens(b)
-                    parts.append((words.value.look_up(hashes, tails)[1].astype(np.int32), first))
-            if parts:
-                own = Model(words.value.head, words.value.tail_n)
-                own.take(weights.value.flat())
-                seen, _ = own.train(*_joined(parts))
-                flat = own.flat()
-                for at in range(0, len(flat), 8192):
-                    values = flat[at : at + 8192].astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([float(seen)]), pa.array([values.tolist()], pa.list_(pa.float64()))], names=["at", "seen", "values"])
-
-        # shards are runs of scan partitions: no text is shuffled
-        each = picked.coalesce(shards).mapInArrow(run, "at long, seen double, values array<double>")
+                held.append(_texts(batch.column(0)))
+                waiting += len(held[-1][0])
+                if waiting >= TOGETHER:
+                    seen, held, waiting = seen + learn(), [], 0
+            if waiting:
+                seen += learn()
+            flat = own.flat()
+            for at in range(0, len(flat) if seen else 0, 8192):
+                values = flat[at : at + 8192].astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([float(seen)]), pa.array([values.tolist()], pa.list_(pa.float64()))], names=["at", "seen", "values"])
+
+        shards = max(1, -(-sizes.get(turn, 0) // SHARD))
+        dealt = lesson(rows, turn).select("_h", "doc_id", "symbols").repartition(shards, "_h").sortWithinPartitions("_h", "doc_id")
+        each = dealt.select("symbols").mapInArrow(run, "at long, seen double, values array<double>")
         each = each.select("at", "seen", F.posexplode("values").alias("i", "v")).groupBy((F.col("at") + F.col("i")).alias("i"))
         mean = each.agg((F.sum(F.col("v") * F.col("seen")) / F.sum("seen")).alias("v")).toArrow()  # one row a weight
         if mean.num_rows:
@@ -177,39 +226,19 @@ def scored(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
     counts = cut(word_counts(docs))
     vocabulary = Vocabulary(counts)
-    sc = docs.sparkSession.sparkContext
-    words, model = sc.broadcast(vocabulary), sc.broadcast(trained(docs, vocabulary))
-    every = vocabulary.total + vocabulary.distinct + 1
-    whole = vocabulary.least <= 1
-    given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = cut(encoded(docs, vocabulary))
+    model = rows.sparkSession.sparkContext.broadcast(trained(rows, vocabulary))
+    given = rows.select("doc_id", "held_out", *CODED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, m = words.value, model.value
-        spread = np.concatenate([np.zeros(len(v.head)), np.log10(v.tail_n + v.tail_words + 1)])
         for batch in batches:
-            parts, made, rare = [], [], []
-            for _, _, b in blocks(text_bytes(batch.column(2)), lower=True):
-                hashes, tails, first = _tokens(b)
-                n, symbols = v.look_up(hashes, tails)
-                owner = np.repeat(np.arange(b.n), np.diff(first))
-                add = lambda x, owner=owner, b=b: np.bincount(owner, weights=x, minlength=b.n)
-                share = np.log10(n + 1)
-                # what the recurrent model leaves to the counts: a tail word's share of its class
-                left = np.where(symbols >= len(v.head), share - spread[symbols], 0.0)
-                made.append((np.diff(first), add(n > 0), add(share) - np.diff(first) * np.log10(every), add(left)))
-                parts.append((symbols.astype(np.int32), first))
-                unknown = np.flatnonzero(n == 0) if not whole else np.zeros(0, np.int64)
-                at = np.searchsorted(owner[unknown], np.arange(b.n + 1))
-                rare.append((hashes[unknown].view(np.int64), np.diff(at)))
-            if parts:
-                tokens, known, base, left = (np.concatenate(x) for x in zip(*made, strict=True))
-                score = m.score(*_joined(parts)) / _LOG10 + left
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate([r[1] for r in rare]))]).astype(np.int32)), pa.array(np.concatenate([r[0] for r in rare])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), lists], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            if batch.num_rows:
+                score = model.value.score(*_texts(batch.column("symbols"))) / _LOG10 + batch.column("left").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(score), batch.column("rare")], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = given.schema["doc_id"].dataType.simpleString()
     rows = given.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
-    if not whole:
+    if vocabulary.least > 1:
         rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
         less = counts.where(F.col("n") < vocabulary.least).select(F.col("h").alias("_h"), "n")
         found = rows.select("_row", F.explode("rare").alias("_r")).join(less, F.col("_r") == F.col("_h"))

@@ -13,11 +13,34 @@ import numpy as np
 WIDTH = 64
 HIDDEN = 24
 WINDOW = 16
+LANES = 128  # texts side by side in a step of training
+RATE = 0.1
 _f = np.float32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+    """The logistic function, in place."""
+    x *= _f(0.5)
+    np.tanh(x, out=x)
+    x += _f(1)
+    x *= _f(0.5)
+    return x
+
+
+def _shares(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The softmax of each row, and the log of what it was divided by. Rows are only shifted by their largest where 32 bits need it."""
+    ones = np.ones(logit.shape[1], _f)
+    with np.errstate(over="ignore"):
+        e = np.exp(logit)
+    total = e @ ones
+    if len(total) and not (total.min() > 1e-25 and total.max() < 1e25):
+        top = logit.max(axis=1)
+        e = np.exp(logit - top[:, None])
+        total = e @ ones
+        e /= total[:, None]
+        return e, np.log(total) + top
+    e /= total[:, None]
+    return e, np.log(total)
 
 
 class Model:
@@ -84,12 +107,10 @@ class Model:
     def log_probability(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log of each symbol's probability, given the states before them."""
         logit = states @ self.p["to_class"] + self.p["class_bias"]
-        logit -= logit.max(axis=1, keepdims=True)
-        out = (logit[np.arange(len(symbols)), self._class_of(symbols)] - np.log(np.exp(logit).sum(axis=1))).astype(np.float64)
+        out = (logit[np.arange(len(symbols)), self._class_of(symbols)] - _shares(logit)[1]).astype(np.float64)
         for c, rows in self._by_class(symbols):
             logit = states[rows] @ self.p["to_word"][c].T + self.p["word_bias"][c]
-            logit -= logit.max(axis=1, keepdims=True)
-            out[rows] += logit[np.arange(len(rows)), symbols[rows] % WIDTH] - np.log(np.exp(logit).sum(axis=1))
+            out[rows] += logit[np.arange(len(rows)), symbols[rows] % WIDTH] - _shares(logit)[1]
         return out
 
     def score(self, symbols: np.ndarray, first: np.ndarray, together: int = 2048, pending: int = 1 << 14) -> np.ndarray:
@@ -115,10 +136,7 @@ class Model:
                 g = h @ weights
                 rz = a[:, : 2 * n]
                 rz += g[:, : 2 * n]
-                rz *= _f(0.5)
-                np.tanh(rz, out=rz)
-                rz += _f(1)
-                rz *= _f(0.5)
+                _sigmoid(rz)
                 new = g[:, 2 * n :]
                 new *= rz[:, :n]
                 new += a[:, 2 * n :]
@@ -137,9 +155,9 @@ class Model:
                     states, targets, owners, held = [], [], [], 0
         return out
 
-    def gradients(self, before: np.ndarray, targets: np.ndarray, alive: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Of a window (steps x lanes): gradients of the mean loss, the state after it, and the loss. A start symbol begins a text
-        anew, from a state of zero."""
+    def gradients(self, before: np.ndarray, targets: np.ndarray, alive: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray, float]:
+        """Of a window (steps x lanes): gradients of the mean loss, those of the gates of the symbols that it holds (all others are 0), the
+        state after it, and the loss. A start symbol begins a text anew, from a state of zero."""
         p, n = self.p, self.hidden
         steps, texts = targets.shape
         fresh, whole = before == self.start, alive.all(axis=1)
@@ -153,36 +171,46 @@ class Model:
             old[t] = h
             a, g = given[t], h @ p["state"]
             gn[t] = g[:, 2 * n :]
-            rz[t] = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
-            np.tanh(a[:, 2 * n :] + rz[t, :, :n] * gn[t], out=new[t])
-            after = new[t] + rz[t, :, n:] * (h - new[t])
+            np.add(a[:, : 2 * n], g[:, : 2 * n], out=rz[t])
+            _sigmoid(rz[t])
+            x = np.multiply(rz[t, :, :n], gn[t], out=new[t])
+            x += a[:, 2 * n :]
+            np.tanh(x, out=x)
+            after = h - x
+            after *= rz[t, :, n:]
+            after += x
             h = after if whole[t] else np.where(alive[t][:, None], after, h)
             states[t] = h
         rows = np.flatnonzero(alive.ravel())
-        held, y = states.reshape(-1, n)[rows], targets.ravel()[rows]
+        held, y = states.reshape(-1, n), targets.ravel()
+        if len(rows) < len(y):
+            held, y = held[rows], y[rows]
         total = max(1, len(rows))
-        g = {name: np.zeros_like(x) for name, x in p.items()}
+        g = {"to_word": np.zeros_like(p["to_word"]), "word_bias": np.zeros_like(p["word_bias"])}
         logit = held @ p["to_class"] + p["class_bias"]
-        e = np.exp(logit - logit.max(axis=1, keepdims=True))
-        e /= e.sum(axis=1, keepdims=True)
         c = self._class_of(y)
-        loss = -float(np.log(np.maximum(e[np.arange(len(y)), c], 1e-30)).sum())
-        e[np.arange(len(y)), c] -= 1
+        each = np.arange(len(y))
+        e, over = _shares(logit)
+        loss = float((over - logit[each, c]).sum())
+        e[each, c] -= 1
         e /= _f(total)
-        g["to_class"], g["class_bias"] = held.T @ e, e.sum(axis=0)
+        g["to_class"], g["class_bias"] = held.T @ e, np.ones(len(e), _f) @ e
         dheld = e @ p["to_class"].T
         for c, at in self._by_class(y):
             x = held[at]
+            word = y[at] % WIDTH
+            each = np.arange(len(at))
             logit = x @ p["to_word"][c].T + p["word_bias"][c]
-            e = np.exp(logit - logit.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            loss -= float(np.log(np.maximum(e[np.arange(len(at)), y[at] % WIDTH], 1e-30)).sum())
-            e[np.arange(len(at)), y[at] % WIDTH] -= 1
+            e, over = _shares(logit)
+            loss += float((over - logit[each, word]).sum())
+            e[each, word] -= 1
             e /= _f(total)
-            g["to_word"][c], g["word_bias"][c] = e.T @ x, e.sum(axis=0)
+            g["to_word"][c], g["word_bias"][c] = e.T @ x, np.ones(len(e), _f) @ e
             dheld[at] += e @ p["to_word"][c]
-        dstates = np.zeros((steps * texts, n), _f)
-        dstates[rows] = dheld
+        dstates = dheld
+        if len(rows) < steps * texts:
+            dstates = np.zeros((steps * texts, n), _f)
+            dstates[rows] = dheld
         dstates = dstates.reshape(steps, texts, n)
         r, z = rz[..., :n], rz[..., n:]
         dn = (1 - z) * (1 - new * new)
@@ -200,17 +228,19 @@ class Model:
         g["state"] = old.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
         dg[:, :, 2] = d * dn
         given = dg.reshape(-1, 3 * n)
-        g["bias"] = given.sum(axis=0)
+        g["bias"] = np.ones(len(given), _f) @ given
         order = np.argsort(before, axis=None, kind="stable")
         used = before.ravel()[order]
         edges = np.flatnonzero(np.diff(used, prepend=-1))
-        g["gates"][used[edges]] = np.add.reduceat(given[order], edges)
-        return g, h, loss
+        return g, (used[edges], np.add.reduceat(given[order], edges)), h, loss
 
-    def train(self, symbols: np.ndarray, first: np.ndarray, lanes: int = 32, rate: float = 0.05) -> tuple[int, float]:
+    def train(self, symbols: np.ndarray, first: np.ndarray, lanes: int = LANES, rate: float = RATE, past: dict[str, np.ndarray] | None = None) -> tuple[int, float]:
         """Learn from some texts in one pass, however many they are; (symbols, loss). The texts stand in ``lanes`` side by side, one after
-        the other, each from a state of zero; a lane's state is carried over its windows."""
-        past = {name: np.full(x.shape, 1e-4, _f) for name, x in self.p.items()}
+        the other, each from a state of zero; a lane's state is carried over its windows. ``past``: the sums of squared gradients
+        that divide the rate, kept from one call to the next."""
+        past = {} if past is None else past
+        for name, x in self.p.items():
+            past.setdefault(name, np.full(x.shape, 1e-4, _f))
         before = np.concatenate([np.array([self.start], symbols.dtype), symbols[:-1]]) if len(symbols) else symbols
         before[first[:-1][np.diff(first) > 0]] = self.start
         steps = -(-len(symbols) // lanes)
@@ -220,11 +250,11 @@ class Model:
             u = np.arange(t, min(t + WINDOW, steps))[:, None]
             alive = (lane + u) < len(symbols)
             at = np.where(alive, lane + u, 0)
-            g, h, cost = self.gradients(before[at], symbols[at], alive, h)
+            g, (used, gates), h, cost = self.gradients(before[at], symbols[at], alive, h)
             loss += cost
-            for name, x in g.items():
-                rows = np.unique(before[at]) if name == "gates" else slice(None)  # other rows have no gradient: nothing of them changes
-                x = x[rows]
+            for name, rows, x in [("gates", used, gates), *((name, slice(None), x) for name, x in g.items())]:
                 past[name][rows] += x * x
-                self.p[name][rows] -= _f(rate) * x / np.sqrt(past[name][rows])
+                x *= _f(rate)
+                x /= np.sqrt(past[name][rows])
+                self.p[name][rows] -= x
         return len(symbols), loss

@@ -199,7 +199,9 @@ def test_gradients(monkeypatch):
     before[2, 1] = m.start
     alive = np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0], [1, 0, 0]], bool)
     h = random_.standard_normal((3, 5)) * 0.3
-    g, _, _ = m.gradients(before, y, alive, h)
+    g, (used, gates), _, _ = m.gradients(before, y, alive, h)
+    g["gates"] = np.zeros(m.p["gates"].shape)
+    g["gates"][used] = gates
     for name, x in m.p.items():
         x, slope = x.ravel(), g[name].ravel()
         for i in random_.choice(len(x), 8):
@@ -208,7 +210,7 @@ def test_gradients(monkeypatch):
             was, ends = x[i], []
             for d in (1e-5, -1e-5):
                 x[i] = was + d
-                ends.append(m.gradients(before, y, alive, h)[2])
+                ends.append(m.gradients(before, y, alive, h)[3])
             x[i] = was
             assert abs((ends[0] - ends[1]) / 2e-5 / alive.sum() - slope[i]) < 1e-5
 
@@ -270,10 +272,45 @@ def test_language_model_query(spark, edge, edge_rows, clashing, empty, known, mo
 
 def test_the_rounds_learn_from_every_training_document(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "en", "s", None) for i in range(400)], DOCS)
-    seen = sorted(r["doc_id"] for turn in range(lm.ROUNDS) for r in lm.lesson(docs, turn).collect())
+    rows = lm.encoded(docs, lm.Vocabulary(lm.word_counts(docs)))
+    seen = sorted(r["doc_id"] for turn in range(lm.ROUNDS) for r in lm.lesson(rows, turn).collect())
     assert seen == [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
 
 
+def test_scores_follow_from_the_documents_alone(spark, edge, edge_rows, monkeypatch):
+    """The query's scores against the model run step by step over each whole text, and the same scores from files of another layout."""
+    monkeypatch.setattr(lm, "HEAD", 40)
+    monkeypatch.setattr(lm, "SHARD", 20)
+    monkeypatch.setattr(lm, "TOGETHER", 1000)
+    counts = lm.word_counts(edge)
+    v = lm.Vocabulary(counts)
+    m = lm.trained(lm.encoded(edge, v), v)
+    other = lm.trained(lm.encoded(edge.repartition(1), v), v)
+    assert np.allclose(m.flat(), other.flat(), atol=1e-6)
+    train = Counter()
+    for i, text, *_ in edge_rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            train.update([*words_of(text, lower=True), None])
+    found = {}
+    for r in lm.scored(edge).collect():
+        found.setdefault(r["doc_id"], []).append(r["score"])
+    head = {int(h): s for h, s in zip(v.h, v.symbol, strict=True) if s >= 0}
+    for i, text, *_ in edge_rows:
+        if i is None or i < 20:
+            continue
+        block = lm.Block([text.encode()], lower=True)
+        hashes, tails, _ = lm._tokens(block)
+        h, before, total = np.zeros((1, m.hidden), np.float32), m.start, 0.0
+        for x, t, word in zip(hashes, tails, [*words_of(text, lower=True), None], strict=True):
+            y = head.get(int(x), m.words + int(t))
+            h = m._step(np.array([before]), h)[0]
+            total += m.log_probability(h, np.array([y]))[0] / math.log(10)
+            if y >= m.words:
+                total += math.log10((train[word] + 1) / (v.tail_n[t] + v.tail_words[t] + 1))
+            before = y
+        assert abs(found[i][0] - total) < 1e-3
+
+
 def test_the_model_beats_its_base_on_held_out_texts(spark):
     """Texts whose every word depends on the one before."""
     r = random.Random(2)
