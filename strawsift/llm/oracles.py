@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, sharding
 
 #: Words of a text: a list of maximal runs without white space.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -79,9 +79,8 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 
 
 def op10_quality() -> str:
-    measures = [e for _, e, _ in quality.MEASURES]
-    margins = ", ".join(f"({i}, {m})" for i, (*_, m) in enumerate(quality.MEASURES))
-    passed = " AND ".join(f"({e}) <= (SELECT any_value(f.t) FROM fence f WHERE f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source AND f.measure = {i})" for i, e in enumerate(measures))
+    """Thresholds from exact quartiles of sorted values, bin by bin: of the language and source, or where that has fewer than 50 documents
+    of the language, or of all."""
     failed = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
@@ -92,15 +91,14 @@ c AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coa
   CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM w LEFT JOIN again USING (doc_id) LEFT JOIN lines USING (doc_id)),
 good AS (SELECT * FROM c WHERE NOT ({failed})),
-m AS (SELECT lang, source, measure, CASE WHEN x <= 0 THEN 0 ELSE greatest(1, 200 + CAST(floor(log2(x) * {quality.BINS_A_DOUBLING}) AS INT)) END AS bin FROM (SELECT lang, source, unnest([{", ".join(f"{{'k': {i}, 'x': CAST({e} AS DOUBLE)}}" for i, e in enumerate(measures))}]) AS u FROM good) AS t(lang, source, u), LATERAL (SELECT u.k AS measure, u.x AS x)),
-groups AS (SELECT 2 AS level, lang, source, measure, bin FROM m UNION ALL SELECT 1, lang, NULL, measure, bin FROM m UNION ALL SELECT 0, NULL, NULL, measure, bin FROM m),
-ranked AS (SELECT *, cume_dist() OVER g AS part, count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM groups WINDOW g AS (PARTITION BY level, lang, source, measure ORDER BY bin)),
-valued AS (SELECT *, CASE WHEN bin = 0 THEN 0.0 ELSE pow(2.0, (bin - 199) / {quality.BINS_A_DOUBLING}.0) END AS v FROM ranked),
-q AS (SELECT level, lang, source, measure, any_value(n) AS n, min(v) FILTER (part >= 0.25) AS low, min(v) FILTER (part >= 0.75) AS high FROM valued GROUP BY ALL),
-t AS (SELECT level, lang, source, q.measure, n, high + greatest(margin, {quality.REACH} * (high - low)) AS t FROM q JOIN (VALUES {margins}) AS x(measure, margin) ON q.measure = x.measure),
-fence AS (SELECT f.lang, f.source, f.measure, CASE WHEN f.n >= {quality.LEAST} THEN f.t WHEN l.n >= {quality.LEAST} THEN l.t ELSE a.t END AS t
-  FROM t f JOIN t l ON f.level = 2 AND l.level = 1 AND f.lang IS NOT DISTINCT FROM l.lang AND f.measure = l.measure JOIN t a ON a.level = 0 AND a.measure = f.measure)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT ({failed}) AND ({passed}) AS kept FROM c"""
+x AS (SELECT *, greatest(word_chars, 1) / greatest(n_words, 1) AS length, (n_symbols + 1) / (n_words + 1) AS symbols, (n_dup_lines + 1) / (n_lines + 1) AS dups FROM c),
+b AS (SELECT *, floor(log2(length) * 32 + 1e-6) AS b0, floor(log2(symbols) * 32 + 1e-6) AS b1, floor(log2(dups) * 32 + 1e-6) AS b2 FROM x),
+q AS (SELECT lang, source, grouping(lang) + grouping(source) AS level, count(*) AS n, quantile_disc(b0, 0.25) AS l0, quantile_disc(b0, 0.75) AS h0, quantile_disc(b1, 0.25) AS l1, quantile_disc(b1, 0.75) AS h1,
+  quantile_disc(b2, 0.25) AS l2, quantile_disc(b2, 0.75) AS h2 FROM b WHERE NOT ({failed}) GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+t AS (SELECT *, l0 - 5 * greatest(2, h0 - l0) AS least0, h0 + 5 * greatest(2, h0 - l0) AS most0, h1 + 2 * greatest(32, h1 - l1) AS most1, h2 + 1.5 * greatest(32, h2 - l2) AS most2 FROM q),
+p AS (SELECT f.lang, f.source, CASE WHEN f.n >= 50 THEN f WHEN l.n >= 50 THEN l ELSE a END AS t FROM t f JOIN t l ON f.level = 0 AND l.level = 1 AND f.lang IS NOT DISTINCT FROM l.lang JOIN t a ON a.level = 2),
+c2 AS (SELECT b.*, NOT ({failed}) AND b0 BETWEEN t.least0 AND t.most0 AND b1 <= t.most1 AND b2 <= t.most2 AS good FROM b LEFT JOIN p ON b.lang IS NOT DISTINCT FROM p.lang AND b.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, coalesce(good, false) AS kept FROM c2"""
 
 
 def oracle_sql() -> dict[str, str]:

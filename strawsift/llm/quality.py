@@ -2,9 +2,12 @@
 
 Measures of every document (below) are put into logarithmic bins; the counts of the bins are a mergeable quantile sketch
 with a bounded relative error: sketches of parts add up, so they are aggregated map-side, and no group meets in one task. For
-each (lang, source) the sketch gives the quartiles of a measure, and the document is rejected where a measure lies beyond
-``upper quartile + REACH * (spread)``: a threshold that moves with the group, so clean text of an unusual source stays.
-Groups of fewer than ``LEAST`` documents use the sketch of their language, and that of all documents if it is small too.
+each (lang, source) the sketch gives the quartiles of a measure, and a document is rejected where a measure lies further beyond a
+quartile than ``reach`` times their distance, all in bins: thresholds that move with the group, so clean text of an unusual source
+stays. Rates count one event more than there were, so a group in which most documents have none still has quartiles, and its
+threshold allows few events in a short text. The distance of the quartiles counts as ``least`` bins at least: for rates a doubling,
+which is what one event more makes of none. Groups of fewer than ``LEAST`` documents use the sketch of their language, and that of
+all documents if it is small too. Repeated words are judged by the base rule alone.
 
 Nulls: a null text counts as empty; null languages and sources are groups of their own. Texts without words always fail the
 base rule (under 20 words). Repeated rows are judged each; an empty table gives an empty one; other columns are kept.
@@ -13,6 +16,7 @@ base rule (under 20 words). Repeated rows are judged each; an empty table gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +27,21 @@ from .common import cut, same, small_side
 from .textkernel import Block, blocks, grams, mix, sums_by, text_bytes
 
 LEAST = 50
-REACH = 6.0
-BINS_A_DOUBLING = 8
-#: (measure, expression over the counts, margin always allowed above the upper quartile)
+BINS_A_DOUBLING = 32
+
+
+class Measure(NamedTuple):
+    name: str
+    value: str  # SQL over the counts, above 0
+    reach: float
+    least: int  # bins
+    below: bool  # are too small values rejected as well
+
+
 MEASURES = (
-    ("word_length", "word_chars / greatest(n_words, 1)", 3.0),
-    ("symbol_ratio", "n_symbols / greatest(n_words, 1)", 0.1),
-    ("dup_line_ratio", "n_dup_lines / greatest(n_lines, 1)", 0.5),
-    ("repeat_ratio", "n_repeat_words / greatest(n_words, 1)", 0.3),
+    Measure("word_length", "greatest(word_chars, 1) / greatest(n_words, 1)", 5.0, 2, True),
+    Measure("symbol_rate", "(n_symbols + 1) / (n_words + 1)", 2.0, BINS_A_DOUBLING, False),
+    Measure("dup_line_rate", "(n_dup_lines + 1) / (n_lines + 1)", 1.5, BINS_A_DOUBLING, False),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 _SYMBOL = np.zeros(256, bool)
@@ -97,48 +108,51 @@ def measured(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
-def _bin(value: str) -> str:
-    """A measure's bin: 0 for nothing, else logarithmic."""
-    return f"CASE WHEN {value} <= 0 THEN 0 ELSE greatest(1, 200 + cast(floor(log2({value}) * {BINS_A_DOUBLING}) AS int)) END"
+def _bin(m: Measure) -> str:
+    """A measure's bin. Powers of two lie on an edge and belong to the bin above it, however the logarithm is rounded."""
+    return f"cast(floor(log2({m.value}) * {BINS_A_DOUBLING} + 1e-6) AS int)"
 
 
 def sketches(rows: DataFrame) -> DataFrame:
     """(_lang, _source, measure, bin, n): the sketches of documents that pass the base rule. They merge by adding n."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("measure"), F.expr(_bin(f"({e})")).alias("bin")) for i, (_, e, _) in enumerate(MEASURES)]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("measure"), F.expr(_bin(m)).alias("bin")) for i, m in enumerate(MEASURES)]))
     return rows.where(f"NOT ({BASE_FAILED})").select("_lang", "_source", pairs.alias("m")).groupBy("_lang", "_source", "m.measure", "m.bin").agg(F.count("*").alias("n"))
 
 
 def _fences(merged: DataFrame, by: list[str]) -> DataFrame:
-    """One row a group: n, and for each measure its upper fence. The windows run over the bins of a group's sketch."""
+    """One row a group: n, and for each measure the lowest and the highest bin that stay. The windows run over the bins of a group's sketch."""
     w = Window.partitionBy(*by, "measure")
-    part = (F.sum("n").over(w.orderBy("bin")) / F.sum("n").over(w)).alias("part")
-    edge = merged.select(*by, "measure", "bin", "n", part)
-    value = F.when(F.col("bin") == 0, 0.0).otherwise(F.pow(F.lit(2.0), (F.col("bin") - 199) / BINS_A_DOUBLING))
-    quartiles = edge.groupBy(*by, "measure").agg(F.sum("n").alias("n"), *[F.min(F.when(F.col("part") >= q, value)).alias(a) for q, a in ((0.25, "low"), (0.75, "high"))])
-    margin = F.element_at(F.array(*[F.lit(m) for *_, m in MEASURES]), F.col("measure") + 1)
-    fence = F.col("high") + F.greatest(margin, REACH * (F.col("high") - F.col("low")))
-    return quartiles.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("measure") == i, fence)).alias(f"t{i}") for i in range(len(MEASURES))])
+    edge = merged.select(*by, "measure", "bin", "n", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("all"))
+    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bin")))
+    both = edge.groupBy(*by, "measure").agg(F.max("all").alias("n"), quartile(1).alias("low"), quartile(3).alias("high"))
+    of = lambda name: F.element_at(F.array(*[F.lit(getattr(m, name)) for m in MEASURES]), F.col("measure") + 1)
+    way = of("reach") * F.greatest(of("least"), F.col("high") - F.col("low"))
+    both = both.withColumn("most", F.col("high") + way).withColumn("fewest", F.when(of("below"), F.col("low") - way))
+    ends = [F.max(F.when(F.col("measure") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(MEASURES)) for c in ("fewest", "most")]
+    return both.groupBy(*by).agg(F.max("n").alias("n"), *ends)
+
+
+ENDS = tuple(f"{c}{i}" for i in range(len(MEASURES)) for c in ("fewest", "most"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """A row for each language and source that the sketch has: t0, t1, ..., from the smallest group that is large enough."""
+    """A row for each language and source that the sketch has: fewest0, most0, fewest1, ..., from the smallest group that is large enough."""
     sketch = cut(sketch)
     fine = _fences(sketch, ["_lang", "_source"])
     lang = _fences(sketch.groupBy("_lang", "measure", "bin").agg(F.sum("n").alias("n")), ["_lang"])
     whole = _fences(sketch.groupBy("measure", "bin").agg(F.sum("n").alias("n")).withColumn("_all", F.lit(1)), ["_all"])
-    names = [f"t{i}" for i in range(len(MEASURES))]
-    lang = lang.select(F.col("_lang").alias("_l"), F.col("n").alias("_ln"), *[F.col(t).alias(f"l{t}") for t in names])
-    all_ = whole.first() or dict.fromkeys(names)  # one row, or none for an empty table
+    lang = lang.select(F.col("_lang").alias("_l"), F.col("n").alias("_ln"), *[F.col(t).alias(f"l{t}") for t in ENDS])
+    all_ = whole.first() or dict.fromkeys(ENDS)  # one row, or none for an empty table
     both = fine.join(lang, same(F.col("_lang"), F.col("_l")))
     pick = lambda t: F.when(F.col("n") >= LEAST, F.col(t)).when(F.col("_ln") >= LEAST, F.col(f"l{t}")).otherwise(F.lit(all_[t]))
-    return both.select(F.col("_lang").alias("_tl"), F.col("_source").alias("_ts"), *[pick(t).alias(t) for t in names])
+    return both.select(F.col("_lang").alias("_tl"), F.col("_source").alias("_ts"), *[pick(t).cast("double").alias(t) for t in ENDS])
 
 
 def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """``measured`` rows with base_failed and kept."""
     limits = small_side(limits)
     rows = rows.join(limits, same(F.col("_lang"), F.col("_tl")) & same(F.col("_source"), F.col("_ts")), "left").drop("_tl", "_ts")
-    within = " AND ".join(f"coalesce(({e}) <= t{i}, true)" for i, (_, e, _) in enumerate(MEASURES))
+    within = " AND ".join(f"coalesce({_bin(m)} BETWEEN coalesce(fewest{i}, -1e9) AND most{i}, true)" for i, m in enumerate(MEASURES))
     return rows.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", F.expr(f"NOT ({BASE_FAILED}) AND {within}"))
 
 

@@ -14,7 +14,7 @@ WIDTH = 64
 HIDDEN = 24
 WINDOW = 16
 LANES = 128  # texts side by side in a step of training
-RATE = 0.1
+RATE = 0.2
 _f = np.float32
 
 

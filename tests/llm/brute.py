@@ -88,12 +88,23 @@ def counts(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(lines)
 
 
-def measures(c: tuple) -> list[float]:
-    n, chars, symbols, dup, repeat, lines = c
-    return [chars / max(n, 1), symbols / max(n, 1), dup / max(lines, 1), repeat / max(n, 1)]
+def measures(c: tuple) -> list[int]:
+    """In bins of a 32nd of a doubling."""
+    n, chars, symbols, dup, _, lines = c
+    return [math.floor(math.log2(x) * 32 + 1e-6) for x in (max(chars, 1) / max(n, 1), (symbols + 1) / (n + 1), (dup + 1) / (lines + 1))]
 
 
-def verdicts(rows: list[tuple], least: int, reach: float, doubling: int, margins: list[float]) -> list[tuple]:
+def fences(rows: list[list[int]]) -> list[tuple[float, float]]:
+    out = []
+    for column, reach, least in zip(zip(*rows, strict=True), (5, 2, 1.5), (2, 32, 32), strict=True):
+        order = sorted(column)
+        low, high = (order[max(0, math.ceil(q * len(order)) - 1)] for q in (0.25, 0.75))
+        way = reach * max(least, high - low)
+        out.append((low - way if reach == 5 else -math.inf, high + way))
+    return out
+
+
+def verdicts(rows: list[tuple], least: int) -> list[tuple]:
     """(doc_id, counts but lines, base_failed, kept)."""
     made = [(r, counts(r[1])) for r in rows]
     failed = [c[0] < 20 or 100 * c[4] > 30 * c[0] for _, c in made]
@@ -103,18 +114,10 @@ def verdicts(rows: list[tuple], least: int, reach: float, doubling: int, margins
             for key in (("fine", r[2], r[3]), ("lang", r[2]), ("all",)):
                 groups[key].append(measures(c))
 
-    def upper(x: float) -> float:
-        return 0.0 if x <= 0 else 2.0 ** ((max(1, 200 + math.floor(math.log2(x) * doubling)) - 199) / doubling)
-
-    def fence(rows_: list, i: int) -> float:
-        order = sorted(upper(m[i]) for m in rows_)
-        at = lambda q: order[max(0, math.ceil(q * len(order)) - 1)]
-        return at(0.75) + max(margins[i], reach * (at(0.75) - at(0.25)))
-
     out = []
     for (r, c), f in zip(made, failed, strict=True):
         key = next((k for k in (("fine", r[2], r[3]), ("lang", r[2])) if len(groups[k]) >= least), ("all",))
-        fine = f or all(m <= fence(groups[key], i) for i, m in enumerate(measures(c)))
+        fine = f or all(a <= m <= b for m, (a, b) in zip(measures(c), fences(groups[key]), strict=True))
         out.append((r[0], *c[:5], f, not f and fine))
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -148,7 +149,7 @@ def test_quality(spark, edge, edge_rows, clashing, empty, monkeypatch):
     extra = [(300 + i, prose(400 + i, 60) + " ###" * (7 if i == 0 else 0) + "\nsame line here" * (i % 3) * 2, "en", "s0", None) for i in range(25)]
     rows = edge_rows + extra
     df = edge.unionByName(spark.createDataFrame(extra, DOCS))
-    truth = brute.verdicts(rows, 4, quality.REACH, quality.BINS_A_DOUBLING, [m for *_, m in quality.MEASURES])
+    truth = brute.verdicts(rows, 4)
     assert key(quality.verdicts(df).collect()) == key(truth)
     assert any(not r[6] and not r[7] for r in truth) and sum(r[7] for r in truth) > 40
     good = key(quality.keep_good(df).collect())
@@ -157,6 +158,34 @@ def test_quality(spark, edge, edge_rows, clashing, empty, monkeypatch):
     assert quality.verdicts(empty).count() == quality.keep_good(empty).count() == 0
 
 
+def test_thresholds_follow_their_source(spark):
+    """A source rich in symbols, one rich in long words and one of lists of equal lines keep their own; each rejects what is odd in it."""
+    r = random.Random(4)
+    rows = []
+
+    def add(source, text):
+        rows.append((len(rows), text, "en", source, None))
+
+    for i in range(60):
+        text = prose(600 + i, r.randrange(80, 200))
+        add("plain", text)
+        add("code", re.sub(r"[ \n]", lambda m: " $ " if r.random() < 0.4 else m.group(), text))
+        add("long", " ".join(w + v for w, v in zip(text.split(), text.split()[1:], strict=False)))
+        add("listed", "\n".join(x for j, x in enumerate(text.split("\n")) for _ in range(4 if j == 0 else 1)) + "\n" + prose(900 + i, 9 * r.randrange(4, 30)))
+    odd = {"plain": ["$ ", "a ", ""], "code": ["$ # "], "long": ["a "], "listed": []}
+    wrong = set()
+    for source, parts in odd.items():
+        for part in parts:
+            wrong.add(len(rows))
+            add(source, prose(7000 + len(rows), 60) + "\n" + part * 300 if part else "\n".join([prose(7777, 9)] + ["same"] * 40 + [prose(7778, 120)]))
+    df = spark.createDataFrame(rows, DOCS)
+    found = {v["doc_id"]: v for v in quality.verdicts(df).collect()}
+    assert {i for i, v in found.items() if not v["kept"] and not v["base_failed"]} | {i for i in wrong if found[i]["base_failed"]} == wrong
+    limits = quality.thresholds(quality.sketches(quality.measured(df, ("doc_id",)))).collect()
+    for i, m in enumerate(quality.MEASURES):
+        assert len({t[f"most{i}"] for t in limits}) > 1, m.name
+
+
 def test_sketches_merge(edge):
     rows = quality.measured(edge, ("doc_id",))
     half = F.pmod(F.hash("_row"), F.lit(2))
@@ -313,7 +342,7 @@ def test_pipeline(spark, edge_rows, tmp_path, monkeypatch):
     extra = [(700 + i, f"{prose(800 + i, 60)}\n{passage}\n{prose(900 + i, 30)}", "en", f"s{i % 3}", None) for i in range(6)]
     rows = edge_rows + extra
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
-    good = [r for r, v in zip(rows, brute.verdicts(rows, 4, quality.REACH, quality.BINS_A_DOUBLING, [m for *_, m in quality.MEASURES]), strict=True) if v[7]]
+    good = [r for r, v in zip(rows, brute.verdicts(rows, 4), strict=True) if v[7]]
     kept = brute.keep_one([r[:5] for r in brute.line_dedup(good)])
     truth = []
     for r, (*_, copies) in zip(kept, brute.mix(kept, mixing.SEED), strict=True):
