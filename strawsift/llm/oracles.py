@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import sharding
 
 #: Words of a text: a list of maximal runs without white space.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -25,23 +25,26 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
-def mix_sql(docs: str, seed: str = mixing.SEED) -> str:
-    """CTEs that end in ``mixed``: the columns of ``docs`` with size, source_size, target and times. Ranks every row by
-    sorting each source whole, unlike the operator."""
+def mix_sql(docs: str) -> str:
+    """CTEs that end in ``mixed``: the columns of ``docs`` with size, source_size, target and times. Each source is sorted whole, row by
+    row: a row is taken if half of it at least comes before the target."""
     return f"""
 sizes AS (SELECT *, CAST(len({WORDS}) AS BIGINT) AS size,
-  (CAST(CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM {docs}),
+  (CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM {docs}),
 by_source AS (SELECT source AS s, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS k FROM sizes GROUP BY source),
 weighed AS (SELECT *, CAST(CASE (k - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS w, 3 * source_size AS most FROM by_source),
 levels AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER b, 0) AS BIGINT) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS BIGINT) AS level
   FROM weighed WINDOW b AS (ORDER BY most / w, s ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 goals AS (SELECT s, source_size, CASE WHEN most <= w * level THEN CAST(most AS DOUBLE) ELSE w * (SELECT max(level) FROM levels WHERE most > w * level) END AS target FROM levels),
-ranked AS (SELECT z.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS c FROM sizes z JOIN goals g ON z.source IS NOT DISTINCT FROM g.s),
-keyed AS (SELECT *, CAST(floor(c) AS BIGINT) AS whole, target - floor(c) * source_size AS rest,
-  CASE WHEN c > floor(c) THEN (u / (1 - u)) / ((c - floor(c)) / (1 - (c - floor(c)))) END AS r FROM ranked),
-ahead AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY r, coalesce(CAST(doc_id AS VARCHAR), ''), size
-  GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past, sum(size) OVER (PARTITION BY source, r, doc_id, size) AS alike FROM keyed),
-mixed AS (SELECT *, whole + CASE WHEN r IS NOT NULL AND (past + alike / 2 <= rest OR past + alike <= rest) THEN 1 ELSE 0 END AS times FROM ahead)"""
+classed AS (SELECT z.*, g.source_size, g.target, CASE WHEN size < 64 THEN 1 WHEN size < 256 THEN 2 ELSE 3 END AS dw FROM sizes z JOIN goals g ON z.source IS NOT DISTINCT FROM g.s),
+n AS (SELECT source, any_value(target) AS target, CAST(coalesce(sum(size) FILTER (dw = 1), 0) AS BIGINT) AS s1, CAST(coalesce(sum(size) FILTER (dw = 2), 0) AS BIGINT) AS s2, CAST(coalesce(sum(size) FILTER (dw = 3), 0) AS BIGINT) AS s3 FROM classed GROUP BY source),
+lv AS (SELECT *, CASE WHEN s1 + s2 + s3 > 0 THEN target / (3 * s3 + 2 * s2 + s1) ELSE 0 END AS v3, CASE WHEN s1 + s2 > 0 THEN (target - 3 * s3) / (2 * s2 + s1) ELSE 0 END AS v2, CASE WHEN s1 > 0 THEN (target - 3 * (s3 + s2)) / s1 ELSE 0 END AS v1 FROM n),
+held AS (SELECT classed.*, CASE WHEN 3 * v3 < 3 THEN dw * v3 WHEN 2 * v2 < 3 THEN CASE WHEN dw = 3 THEN 3.0 ELSE dw * v2 END WHEN v1 < 3 THEN CASE WHEN dw > 1 THEN 3.0 ELSE v1 END ELSE 3.0 END AS c
+  FROM classed JOIN lv ON classed.source IS NOT DISTINCT FROM lv.source),
+keyed AS (SELECT *, CAST(floor(c) AS BIGINT) AS whole, target - sum(CAST(floor(c) AS BIGINT) * size) OVER (PARTITION BY source) AS rest,
+  CASE WHEN c > floor(c) THEN (u / (1 - u)) / ((c - floor(c)) / (1 - (c - floor(c)))) END AS r FROM held),
+ahead AS (SELECT *, coalesce(sum(CASE WHEN r IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY r NULLS LAST, coalesce(CAST(doc_id AS VARCHAR), ''), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS past FROM keyed),
+mixed AS (SELECT *, whole + CASE WHEN r IS NOT NULL AND past + size / 2 <= rest THEN 1 ELSE 0 END AS times FROM ahead)"""
 
 
 def op5_mixing() -> str:

@@ -144,24 +144,31 @@ def mix(rows: list[tuple], seed: str, weights=(5, 2, 1), cap: int = 3) -> list[t
         full |= over
     copies = [0] * len(rows)
     for s in order:
-        c = target[s] / held[s] if held[s] else 0.0
-        if abs(c - round(c)) < 1e-12:
-            c = round(c)
-        part, rest, ranked = c - math.floor(c), target[s] - math.floor(c) * held[s], defaultdict(list)
-        for i, r in enumerate(rows):
-            if r[3] == s:
-                copies[i] = math.floor(c)
-                if part > 0:
-                    key = "" if r[0] is None else str(r[0])
-                    u = (int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-                    ranked[(u / (1 - u)) / (part / (1 - part)), key, size[i]].append(i)
-        past = 0
-        for at in sorted(ranked):
-            alike = sum(size[i] for i in ranked[at])
-            if past + alike / 2 <= rest:
-                for i in ranked[at]:
-                    copies[i] += 1
-            past += alike
+        own = [i for i, r in enumerate(rows) if r[3] == s]
+        of = {i: 1 if size[i] < 64 else 2 if size[i] < 256 else 3 for i in own}
+        stuck: set = set()  # weights whose documents are all taken cap times
+        while True:
+            free = sum(of[i] * size[i] for i in own if of[i] not in stuck)
+            level = (target[s] - sum(cap * size[i] for i in own if of[i] in stuck)) / free if free else 0.0
+            over = {w for w in set(of.values()) - stuck if level * w >= cap}
+            if not over:
+                break
+            stuck.add(max(over))
+        ranked, past = [], target[s]
+        for i in own:
+            c = cap if of[i] in stuck else of[i] * level
+            copies[i] = math.floor(c)
+            past -= copies[i] * size[i]
+            part = c - copies[i]
+            if part > 0:
+                key = "" if rows[i][0] is None else str(rows[i][0])
+                u = (int(hashlib.md5(f"{seed}:{key}:{rows[i][1] or ''}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                ranked.append(((u / (1 - u)) / (part / (1 - part)), key, size[i], i))
+        for *_, n, i in sorted(ranked):
+            if past < n / 2:
+                break
+            copies[i] += 1
+            past -= n
     return [(r[0], n, held[r[3]], target[r[3]], c) for r, n, c in zip(rows, size, copies, strict=True)]
 
 

@@ -216,11 +216,23 @@ def test_mixes_come_near_their_targets(spark):
     assert abs(sum(x["target"] for x in found) - sum(x["source_size"] for x in found)) < 1e-3
 
 
+def test_rows_without_ids_and_repeated_rows_come_near_the_targets(spark):
+    """All ids null, the same text again and again, in several partitions: as many rows are taken as the target has words for."""
+    rows = [(None, "a b c d" if i % 3 else f"a b c {i}", "en", "a" if i < 1200 else "b", None) for i in range(2000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    goals = {s: t for _, _, s, t, _ in brute.mix(rows, mixing.SEED)}
+    for given in (df, spark.createDataFrame([(7, "a b c d", "en", r[3], None) for r in rows], DOCS).repartition(3)):
+        for found in (mixing.shares(given).groupBy("source_size", "target").agg(F.sum("taken"), F.max("taken")).collect(),):
+            assert len(found) == 2 and all(abs(taken - target) <= 4 and most <= 12 and abs(target - goals[size]) < 1e-6 for size, target, taken, most in found)
+        mixed = mixing.mix(given).groupBy("source").count().collect()
+        assert all(abs(4 * n - goals[4800 if s == "a" else 3200]) <= 4 for s, n in mixed)
+
+
 def test_document_weights_are_inclusion_odds(spark):
     """Over many seeds a document is taken as often as its weight says, and every mix has the target's words."""
     rows = [(i, "w " * 10, "en", "a" if i < 120 else "b", None) for i in range(240)]
     df = spark.createDataFrame(rows, DOCS)
-    weight = F.when(F.col("doc_id") % 3 == 0, 3.0).otherwise(1.0)
+    weight = F.when(F.col("doc_id") % 3 == 0, 3)
     taken, runs = {}, 12
     for seed in range(runs):
         found = mixing.shares(df, weights=(1, 5), seed=f"t{seed}", weight=weight).collect()
