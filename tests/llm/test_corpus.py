@@ -323,11 +323,35 @@ def test_index_is_exact(n, width, seed, size, k):
     r = np.random.default_rng(seed)
     vectors, ids = r.integers(-size, size + 1, (n, width)), r.permutation(n * 3)[:n]
     q = ids[ids % 2 == 0]
-    a, b, s = topk.Index(ids, vectors).search(q, vectors[np.searchsorted(np.sort(ids), q)] if False else np.array([vectors[np.flatnonzero(ids == x)[0]] for x in q]).reshape(len(q), width), k)
+    asked = np.array([vectors[np.flatnonzero(ids == x)[0]] for x in q]).reshape(len(q), width)
+    a, b, s = topk.Index(ids, vectors).search(asked, k, q)
+    a = q[a]
     found = [(int(x), int(y), int(z)) for x, y, z in zip(a, b, s, strict=True)]
     assert found == [(x, y, z) for x, _, y, z in _best(ids, vectors, q, k)]
 
 
+@pytest.mark.parametrize("width", [32, 64])
+def test_processing_stops_early(width):
+    """On directions at random, about the hardest case, a good part of the postings is never processed, and the ranking is exact."""
+    r = np.random.default_rng(width)
+    x = r.standard_normal((4096, width))
+    vectors, ids = np.floor(64 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64), np.arange(4096)
+    index = topk.Index(ids, vectors)
+    a, b, s = index.search(vectors[::64], 20, ids[::64])
+    assert [(int(ids[::64][x]), int(y), int(z)) for x, y, z in zip(a, b, s, strict=True)] == [(x, y, z) for x, _, y, z in _best(ids, vectors, ids[::64], 20)]
+    assert 0 < index.read < 0.85 * index.held
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(i % 40, [float(i % 13), float(i % 7)]) for i in range(40)] * 3 + [(0, [5.0, 1.0])] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    theirs = con.execute(oracles.oracle_sql()["op2_topk"]).fetchall()
+    assert len(theirs) == 60
+    assert key(topk.report(df).select("query_id", "rank", "vec_id", "score").collect()) == key(theirs)
+
+
 def test_top_k_query(spark):
     r = np.random.default_rng(6)
     x = r.standard_normal((300, 8)).astype(np.float32)
