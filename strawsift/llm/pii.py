@@ -267,13 +267,20 @@ def fit(rows: list[tuple[list[int], float]], rounds: int = 300, rate: float = 1.
 
 def train(found: DataFrame) -> tuple[dict[int, float], np.ndarray]:
     """The probabilities of the patterns and the classifier's weights, from ``candidates`` rows."""
-    each = found.select("doc_id", F.explode(F.concat("base", "more")).alias("s"))
-    counts = {r["pattern"]: r["n"] for r in each.groupBy("s.pattern").agg(F.count("*").alias("n")).collect()}  # at most 4 * 3**6
+    sides = F.concat(*[F.transform(c, lambda s, i=i: F.struct(F.lit(i).alias("side"), s["pattern"].alias("pattern"))) for i, c in enumerate(("base", "more"))])
+    each = found.select(F.explode(sides).alias("s")).groupBy("s.side", "s.pattern").agg(F.count("*").alias("n")).collect()  # at most 8 * 3**6
+    counts: dict[int, int] = {}
+    for r in each:
+        counts[r["pattern"]] = counts.get(r["pattern"], 0) + r["n"]
     truth = reliabilities(counts)
     rows = []
-    for side in ("base", "more"):
-        picked = found.select("doc_id", F.explode(side).alias("s")).select(F.xxhash64("doc_id", "s.start", "s.kind").alias("h"), "doc_id", "s")
-        rows += [(r["s"]["ones"], truth[r["s"]["pattern"]]) for r in picked.orderBy("h", "doc_id", "s.start", "s.pattern").limit(SAMPLE).select("s").collect()]
+    for i, side in enumerate(("base", "more")):
+        share = 1.25 * SAMPLE / max(1, sum(r["n"] for r in each if r["side"] == i))
+        picked = found.select("doc_id", F.explode(side).alias("s")).select(F.xxhash64("doc_id", "s.start", "s.kind").alias("h"), F.struct("doc_id", "s.start", "s.pattern", "s.ones").alias("s"))
+        if share < 1:  # so few that no more than these are ranked, wherever they are
+            picked = picked.where(F.col("h") < int((share * 2 - 1) * (1 << 63)))
+        picked = picked.groupBy("h").agg(F.min("s").alias("s")).orderBy("h").limit(SAMPLE)
+        rows += [(r["ones"], truth[r["pattern"]]) for r in picked.select("s.ones", "s.pattern").collect()]
     return truth, fit(rows)
 
 
