@@ -62,7 +62,8 @@ def covered(docs: DataFrame) -> DataFrame:
     place = F.struct("_id", "_text_hash", F.element_at("_lines", 1).alias("_line"))
     firsts = found.groupBy("_window").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select(F.col("_window").alias("_w"), "_first")
     later = found.join(firsts, F.col("_window") == F.col("_w")).where(place > F.col("_first"))
-    return later.groupBy(F.col("_id").alias("_i"), F.col("_text_hash").alias("_h")).agg(F.array_distinct(F.flatten(F.collect_list("_lines"))).alias("_covered"))
+    numbers = later.select(F.col("_id").alias("_i"), F.col("_text_hash").alias("_h"), F.explode("_lines").alias("_line")).distinct()
+    return numbers.groupBy("_i", "_h").agg(F.collect_list("_line").alias("_covered"))  # at most the lines of one text
 
 
 def _without(text: str, covered: list[int]) -> str:
