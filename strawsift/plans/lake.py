@@ -6,17 +6,19 @@ numbers only, so they are spelled alike everywhere.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sketches
-from ..functions.session import materialised
+from ..functions.session import materialised, shared_folder
 from ..functions.text import joined
 from ..operators import durations, inverted, metadata
 from ..sources import notifications, tables
+from ..sources.store import IndexStore, SketchStore
 from .models import Condition, NeedleInHaystackQuery
 from .needle import needle
 
@@ -98,12 +100,6 @@ def _root(s: SparkSession, d: str) -> DataFrame:
 
 
 def value_to_index_file(s: SparkSession, d: str) -> DataFrame:
-    """Every tenth user id's file, and that of a value past all."""
-    asked = lake(s, d).where("column = 'user_id' AND value LIKE '%0'").select("column", "value")
-    return _col(inverted.ceiling(asked.unionByName(s.range(1).select(F.lit("user_id").alias("column"), F.lit("~").alias("value"))), _root(s, d)))
-
-
-def value_to_index_file_all(s: SparkSession, d: str) -> DataFrame:
     """The file of every value of every column, and that of a value past the end of each."""
     asked = lake(s, d).select("column", "value").distinct()
     past = asked.groupBy("column").agg(F.concat(F.max("value"), F.lit("~")).alias("value"))
@@ -156,11 +152,6 @@ def _estimated(rows: DataFrame) -> DataFrame:
 
 
 def frequency_cms(s: SparkSession, d: str) -> DataFrame:
-    """Of lang and source."""
-    return _estimated(facts(s, d).where("key IN ('lang', 'source')"))
-
-
-def frequency_cms_all(s: SparkSession, d: str) -> DataFrame:
     """Of every key."""
     return _estimated(facts(s, d))
 
@@ -200,15 +191,71 @@ def hit_union(s: SparkSession, d: str) -> DataFrame:
     return hits(lake(s, d), asked).groupBy("idx", "value").agg(F.count("*").alias("n"))
 
 
+def _folder(s: SparkSession) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_folder(s)}/lake-{uuid.uuid4().hex}"
+
+
+def index_store_needle(s: SparkSession, d: str) -> DataFrame:
+    """The flagship query over an index on disk, of which only the files that may hold a value are read."""
+    store = IndexStore(s, _folder(s), rows=500, groups=1)
+    store.add(lake(s, d))
+    return _hits(needle(store.pruned((ERROR, USER)), NeedleInHaystackQuery((ERROR, USER), "And")))
+
+
+def index_store_incremental(s: SparkSession, d: str) -> DataFrame:
+    """An index on disk of two batches, one of which comes again, and its compaction."""
+    store, rows = IndexStore(s, _folder(s)), lake(s, d)
+    half = F.pmod(F.xxhash64("file"), F.lit(2))
+    for i, name in ((0, "even"), (1, "odd"), (0, "even")):
+        store.add(rows.where(half == i), name)
+    store.compact()
+    return _col(store.entries())
+
+
+def _written(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """Orders in a file for each residue of their key, written as ``kind`` and read by its reader; a note holds quotes and line breaks."""
+    folder = _folder(s)
+    note = F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"\n,'), F.col("o_orderkey") % 3)
+    rows = _table(s, d, "orders").select((F.col("o_orderkey") % 8).alias("f"), "o_orderpriority", "o_orderstatus", F.col("o_custkey").cast("string").alias("o_custkey"), note.alias("note"))
+    rows.repartition("f").write.partitionBy("f").format(kind).options(header=True, escape='"').save(folder)
+    found = tables.READERS[f".{kind}"](s, [folder])
+    return _col(tables.distinct_entries(found.withColumn("file", F.regexp_extract("file", "f=([0-9]+)", 1))))
+
+
+def csv_files_entries(s: SparkSession, d: str) -> DataFrame:
+    return _written(s, d, "csv")
+
+
+def json_files_entries(s: SparkSession, d: str) -> DataFrame:
+    return _written(s, d, "json")
+
+
+def sketch_store_frequency(s: SparkSession, d: str) -> DataFrame:
+    """Estimates from sketches on disk, of two batches, against exact counts."""
+    rows, store = materialised(facts(s, d)), SketchStore(s, _folder(s))
+    half = F.pmod(F.xxhash64("file"), F.lit(2))
+    for i, name in ((0, "even"), (1, "odd"), (1, "odd")):
+        store.add(rows.where(half == i), name)
+    store.compact()
+    made = sketches.cms_estimates(rows, sketches.cms_merged(store.sketches()))
+    exact = rows.groupBy("key", "value").agg(F.count("*").alias("exact"))
+    return exact.join(made, ["key", "value"]).select("key", "value", "exact", F.col("estimate").between(F.col("exact"), 1.1 * F.col("exact") + 0.1 * F.sum("exact").over(Window.partitionBy("key"))).alias("within_bound"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "index_store_needle": index_store_needle,
+        "index_store_incremental": index_store_incremental,
+        "csv_files_entries": csv_files_entries,
+        "json_files_entries": json_files_entries,
+        "sketch_store_frequency": sketch_store_frequency,
         "lake_entries_distinct": lake_entries_distinct,
         "index_build": index_build,
         "index_merge_incremental": index_merge_incremental,
         "root_index": root_index,
         "section_zone_map": section_zone_map,
         "value_to_index_file": value_to_index_file,
-        "value_to_index_file_all": value_to_index_file_all,
         "root_upsert": root_upsert,
         "needle_or": _ask((ERROR, USER)),
         "needle_and": _ask((ERROR, USER), "And"),
@@ -220,7 +267,6 @@ def queries() -> dict[str, Query]:
         "metadata_grouping": metadata_grouping,
         "cardinality_hll": cardinality_hll,
         "frequency_cms": frequency_cms,
-        "frequency_cms_all": frequency_cms_all,
         "frequency_exact": frequency_exact,
         "batch_metrics": batch_metrics,
         "log_pairing": log_pairing,
@@ -241,14 +287,19 @@ def oracle_sql() -> dict[str, str]:
 
     index = f"WITH {e} SELECT col, value, string_agg(file, ';' ORDER BY file) AS files, count(*) AS n_files FROM e GROUP BY ALL"
     wide = tuple(Condition("lang", x) for x in ("en", "de", "fr", "es")) + (ERROR, Condition("o_orderstatus", "F"))
+    written = "SELECT DISTINCT col, value, file FROM (SELECT CAST(o_orderkey % 8 AS VARCHAR) AS file, unnest([{'col': 'o_orderpriority', 'value': o_orderpriority}, {'col': 'o_orderstatus', 'value': o_orderstatus}, {'col': 'o_custkey', 'value': CAST(o_custkey AS VARCHAR)}, {'col': 'note', 'value': '\"' || o_orderstatus || '\"' || chr(10) || ',' || (o_orderkey % 3)}], recursive := true) FROM orders) WHERE value <> ''"
     return {
+        "index_store_needle": ask((ERROR, USER), "HAVING count(*) = 2"),
+        "index_store_incremental": f"WITH {e} SELECT * FROM e",
+        "csv_files_entries": written,
+        "json_files_entries": written,
+        "sketch_store_frequency": f"WITH {m} SELECT key, value, count(*) AS exact, TRUE AS within_bound FROM m GROUP BY ALL",
         "lake_entries_distinct": f"WITH {e} SELECT * FROM e",
         "index_build": index,
         "index_merge_incremental": index,
         "root_index": f"WITH {e}, {ranked} SELECT col, k // {CHUNK_ROWS} AS chunk, min(value) AS min, max(value) AS max, count(*) AS n_rows FROM r GROUP BY ALL",
         "section_zone_map": f"WITH {e}, {ranked} SELECT col, k // {CHUNK_ROWS + 1} AS section, min(value) AS min, max(value) AS max, count(*) AS n_rows FROM r GROUP BY ALL",
-        "value_to_index_file": f"WITH {e}, {ranked}, {root}, a AS (SELECT DISTINCT col, value FROM e WHERE col = 'user_id' AND value LIKE '%0' UNION ALL SELECT 'user_id', '~') SELECT a.col, a.value, coalesce((SELECT CAST(arg_min(chunk, max) AS VARCHAR) FROM root WHERE root.col = a.col AND root.max >= a.value), '{inverted.END_OF_INDEX}') AS index_file FROM a",
-        "value_to_index_file_all": f"WITH {e}, {ranked}, {root}, a AS (SELECT col, value FROM v UNION ALL SELECT col, max(value) || '~' FROM v GROUP BY col) SELECT a.col, a.value, coalesce((SELECT CAST(arg_min(chunk, max) AS VARCHAR) FROM root WHERE root.col = a.col AND root.max >= a.value), '{inverted.END_OF_INDEX}') AS index_file FROM a",
+        "value_to_index_file": f"WITH {e}, {ranked}, {root}, a AS (SELECT col, value FROM v UNION ALL SELECT col, max(value) || '~' FROM v GROUP BY col) SELECT a.col, a.value, coalesce((SELECT CAST(arg_min(chunk, max) AS VARCHAR) FROM root WHERE root.col = a.col AND root.max >= a.value), '{inverted.END_OF_INDEX}') AS index_file FROM a",
         "root_upsert": f"WITH {e}, {ranked}, {root} SELECT col, CAST(chunk AS VARCHAR) AS index_file, CASE WHEN chunk = 0 THEN '' ELSE min END AS min, CASE WHEN chunk = 0 THEN max || '~' ELSE max END AS max FROM root",
         "needle_or": ask((ERROR, USER)),
         "needle_and": ask((ERROR, USER), "HAVING count(*) = 2"),
@@ -259,8 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "hit_union": f"WITH {e}, c(idx, col, value) AS (VALUES {', '.join(f"({i}, '{c.ColumnName}', '{c.Value}')" for i, c in enumerate(wide))}) SELECT idx, value, count(*) AS n FROM e JOIN c USING (col, value) GROUP BY ALL",
         "metadata_grouping": f"WITH {m} SELECT key, count(*) AS n_values, count(DISTINCT value) AS n_distinct FROM m GROUP BY key",
         "cardinality_hll": f"WITH {m} SELECT key, count(DISTINCT value) AS exact, TRUE AS within_3pct FROM m GROUP BY key",
-        "frequency_cms": f"WITH {m} SELECT key, value, count(*) AS exact, TRUE AS est_ge_exact FROM m WHERE key IN ('lang', 'source') GROUP BY ALL",
-        "frequency_cms_all": f"WITH {m} SELECT key, value, count(*) AS exact, TRUE AS est_ge_exact FROM m GROUP BY ALL",
+        "frequency_cms": f"WITH {m} SELECT key, value, count(*) AS exact, TRUE AS est_ge_exact FROM m GROUP BY ALL",
         "frequency_exact": f"WITH {m} SELECT key, value, count(*) AS n FROM m GROUP BY ALL",
         "batch_metrics": "SELECT count(DISTINCT doc_id % 16) AS n_files, CAST(sum(n_chars) AS BIGINT) AS total FROM documents",
         "log_pairing": "SELECT b.event_id // 2 AS id, b.event_type AS type, (epoch_us(b.ts) - epoch_us(a.ts)) / 1000000 AS duration_s, b.user_id % 5 AS n FROM events a JOIN events b ON a.event_id % 2 = 0 AND b.event_id = a.event_id + 1 AND (a.ts, a.event_id) < (b.ts, b.event_id) WHERE b.user_id % 5 <> 0",

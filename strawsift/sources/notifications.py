@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import storage
 
 ROWS = "key string, value string"
+FILE_PATHS = 1000  # announced in one file
 
 
 class Notifications:
@@ -22,11 +23,12 @@ class Notifications:
         self.spark, self.folder = spark, folder
 
     def send(self, paths: list[str]) -> None:
-        body = "".join(json.dumps({"key": p, "value": p}) + "\n" for p in paths)
-        storage.put(self.spark, f"{self.folder}/{time.time_ns():020d}-{uuid.uuid4().hex}.jsonl", body.encode())
+        for at in range(0, len(paths), FILE_PATHS):
+            body = "".join(json.dumps({"key": p, "value": p}) + "\n" for p in paths[at : at + FILE_PATHS])
+            storage.put(self.spark, f"{self.folder}/{time.time_ns():020d}-{uuid.uuid4().hex}.jsonl", body.encode())
 
-    def stream(self, files: int = 1000) -> DataFrame:
-        """From the earliest on, at most ``files`` announcements' files a micro-batch."""
+    def stream(self, files: int = 100) -> DataFrame:
+        """From the earliest on, at most ``files`` announcements' files a micro-batch, each of at most FILE_PATHS paths."""
         self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder))
         return self.spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.jsonl").json(self.folder)
 

@@ -3,6 +3,9 @@
 Schemas are read from the files, so files of any layouts may be mixed; columns of one name are one column. Null and empty values
 give no entry, nor do nested JSON objects and arrays. A CSV file with a repeated header name gives none (``rejected`` lists
 it), neither does a JSON file that can't be parsed. Surplus CSV fields are passed over. Files of other kinds are passed over.
+
+CSV files without quoted line breaks and files of a JSON value a line are read in splits; a CSV file that has a line with an odd number of
+quotes, and a JSON file whose first line isn't a whole value, by one task each.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import materialised
 from ..functions.text import present
 
 ENTRIES = "column string, value string, file string"
@@ -29,34 +33,57 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ENTRIES)
 
 
+_RECORD = r'^((?:[^"\r\n]++|"(?:[^"]++|"")*+")*+)'  # the first one of a CSV text
+
+
 def csv_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, header, names): the first line of each file, and its fields. The line is found map-side, one row a file is shuffled."""
+    """(file, header, names, broken): the first record of each file, its fields, and whether records may go over lines. One scan of the lines,
+    of which one row a file and task is shuffled; only files with an odd number of quotes in a line are read whole."""
     lines = spark.read.text(paths).select(_file().alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    first = first.withColumn("header", F.regexp_replace("header", "^﻿", ""))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2
+    files = lines.groupBy("file").agg(F.min_by(F.when(F.col("block") == 0, F.col("value")), F.when(F.col("block") == 0, F.col("at"))).alias("header"), (F.max(odd) > 0).alias("broken"))
+    files = materialised(files)
+    texts = _whole(spark, paths, files.where("broken"))
+    if texts is not None:
+        first = texts.select(F.col("file").alias("_of"), F.regexp_extract("value", _RECORD, 1).alias("_record"))
+        files = files.join(first, F.col("file") == F.col("_of"), "left").select("file", F.coalesce("_record", "header").alias("header"), "broken")
+    first = files.withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
     width = first.agg(F.max(F.size(F.split("header", ",")))).first()[0] or 1
-    fields = F.from_csv("header", F.lit(", ".join(f"c{i} string" for i in range(width))), {"mode": "PERMISSIVE"})
-    return first.withColumn("f", fields).select("file", "header", F.filter(F.array(*[F.col(f"f.c{i}") for i in range(width)]), lambda x: x.isNotNull()).alias("names"))
+    fields = F.from_csv("header", F.lit(", ".join(f"c{i} string" for i in range(width))), {"mode": "PERMISSIVE", "multiLine": "true", "escape": '"'})
+    return first.withColumn("f", fields).select("file", "header", F.filter(F.array(*[F.col(f"f.c{i}") for i in range(width)]), lambda x: x.isNotNull()).alias("names"), "broken")
+
+
+def _whole(spark: SparkSession, paths: list[str], files: DataFrame) -> DataFrame | None:
+    """(file, value): the whole texts of some of the files; None if they are none. The others aren't opened."""
+    names = [r[0] for r in files.select("file").collect()]  # of the paths that the caller has listed
+    return spark.read.text(paths, wholetext=True).where(_file().isin(names)).select(_file().alias("file"), "value") if names else None
 
 
 def _doubled(names):
     return F.size(F.array_distinct(names)) < F.size(names)
 
 
-def csv_entries(spark: SparkSession, paths: list[str], multiline: bool = False) -> DataFrame:
-    """One positional scan of all files, whatever their headers, whose names come by file. ``multiline``: quoted line breaks (then
-    a file is read by one task)."""
-    headers = csv_headers(spark, paths).cache()
+def csv_entries(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One positional scan of all files, whatever their headers, whose names come by file; one more, a task a file, of those in which records
+    may go over lines."""
+    headers = materialised(csv_headers(spark, paths))
     count, width = headers.agg(F.count("*"), F.max(F.size("names"))).first()
     if not width:
         return _empty(spark)
-    named = headers.where(~_doubled(F.col("names"))).select(F.col("file").alias("_of"), "names")
-    named = F.broadcast(named) if count <= BROADCAST_FILES else named
     schema = ", ".join(f"c{i} string" for i in range(width))
-    rows = spark.read.schema(schema).options(header=True, enforceSchema=True, multiLine=multiline, mode="PERMISSIVE", escape='"').csv(paths)
-    rows = rows.select(_file().alias("file"), F.array(*[f"c{i}" for i in range(width)]).alias("values"))
-    pairs = rows.join(named, F.col("file") == F.col("_of")).select("file", F.explode(F.arrays_zip(F.col("names").alias("column"), F.col("values").alias("value"))).alias("p"))
-    return pairs.select("p.column", "p.value", "file").where(F.col("column").isNotNull() & present(F.col("value")))
+    broken = [r[0] for r in headers.where("broken").select("file").collect()]
+    out = None
+    for multiline in (False, True) if broken else (False,):
+        named = headers.where(~_doubled(F.col("names")) & (F.col("broken") == multiline)).select(F.col("file").alias("_of"), "names")
+        named = F.broadcast(named) if count <= BROADCAST_FILES else named
+        rows = spark.read.schema(schema).options(header=True, enforceSchema=True, multiLine=multiline, mode="PERMISSIVE", escape='"').csv(paths)
+        if broken:
+            rows = rows.where(_file().isin(broken) if multiline else ~_file().isin(broken))
+        rows = rows.select(_file().alias("file"), F.array(*[f"c{i}" for i in range(width)]).alias("values"))
+        pairs = rows.join(named, F.col("file") == F.col("_of")).select("file", F.explode(F.arrays_zip(F.col("names").alias("column"), F.col("values").alias("value"))).alias("p"))
+        found = pairs.select("p.column", "p.value", "file").where(F.col("column").isNotNull() & present(F.col("value")))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _is_array(item) -> Column:
@@ -94,13 +121,18 @@ def _one(text):
 
 
 def _json_items(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, item): the file's value or, where the whole is no JSON, that of each line; null where that fails too."""
-    texts = spark.read.text(paths, wholetext=True).select(_file().alias("file"), "value", _one(F.col("value")).alias("whole"))
-    one = texts.where("whole IS NOT NULL").select("file", F.col("whole").alias("item"))
-    lines = texts.where("whole IS NULL").select("file", F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    parsed = lines.select("file", F.transform("lines", _one).alias("items"))
-    fine = F.forall("items", lambda x: x.isNotNull()) & (F.size("items") > 0)
-    return one.unionByName(parsed.select("file", F.explode(F.when(fine, F.col("items")).otherwise(F.array(F.lit(None).cast("variant")))).alias("item")))
+    """(file, item): the value of each line where the file's first line is a whole value (more can't follow in one document), else the file's
+    only value; null where there is none."""
+    lines = spark.read.text(paths).select(_file().alias("file"), "value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.where(F.trim(F.translate("value", "\t\r", "  ")) != "")
+    heads = lines.groupBy("file").agg(F.min_by(F.when(F.col("block") == 0, F.col("value")), F.when(F.col("block") == 0, F.col("at"))).alias("first"))
+    heads = materialised(heads.select("file", F.coalesce(_one(F.col("first")).isNotNull(), F.lit(False)).alias("by_line")))
+    by_line = heads.where("by_line").select(F.col("file").alias("_of"))
+    items = lines.join(by_line, F.col("file") == F.col("_of")).select("file", _one(F.col("value")).alias("item"))
+    bad = items.where("item IS NULL").select(F.col("file").alias("_bad")).distinct()
+    items = items.join(bad, F.col("file") == F.col("_bad"), "left").select("file", F.when(F.col("_bad").isNull(), F.col("item")).alias("item"))
+    texts = _whole(spark, paths, heads.where("NOT by_line"))
+    return items if texts is None else items.unionByName(texts.select("file", _one(F.col("value")).alias("item")))
 
 
 Reader = Callable[[SparkSession, list[str]], DataFrame]

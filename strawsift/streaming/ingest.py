@@ -16,7 +16,7 @@ INTERVAL = "5 seconds"
 
 def _consume(stream: DataFrame, name: str, checkpoint: str, handle: Callable[[list[str], str], None], once: bool) -> StreamingQuery:
     def batch(rows: DataFrame, number: int) -> None:
-        paths = sorted(r[0] for r in rows.select("value").where("value <> ''").distinct().collect())  # as many as a trigger may take
+        paths = sorted(r[0] for r in rows.select("value").where("value <> ''").distinct().collect())  # as many as a trigger takes: notifications bound both files and their paths
         if paths:
             handle(paths, f"{name}-{number}-{hashlib.sha256(chr(10).join(paths).encode()).hexdigest()[:16]}")
 

@@ -40,7 +40,7 @@ def test_every_value_of_the_lake_is_looked_up(spark):
     asked |= {(c, max(v for k, v in asked if k == c) + "~") for c in root}
     truth = {(c, v, min(((m, f) for m, f in root[c] if m >= v), default=("", inverted.END_OF_INDEX))[1]) for c, v in asked}
     assert {c for c, _ in asked} == {c for *_, columns in lake.LAYOUT for c in columns}
-    assert sorted(map(tuple, lake.queries()["value_to_index_file_all"](spark, DATA).select("col", "value", "index_file").collect())) == sorted(truth)
+    assert sorted(map(tuple, lake.queries()["value_to_index_file"](spark, DATA).select("col", "value", "index_file").collect())) == sorted(truth)
 
 
 def test_entry(spark):

@@ -22,7 +22,7 @@ def ask(index, conditions, relation="Or"):
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return IndexStore(spark, f"file://{tmp_path}/index", rows=20)
+    return IndexStore(spark, f"file://{tmp_path}/index", rows=20, groups=1)
 
 
 def test_relations(spark):
@@ -66,6 +66,33 @@ def test_batches_merge_and_come_once(store, spark):
     assert store.entries().count() == 0
 
 
+def test_a_stream_is_covered_by_its_last_batch(store, spark):
+    names = [f"{stream}-{i}-{i:016x}" for i in range(4) for stream in ("content", "other")]
+    for name in names:
+        store.add(spark.createDataFrame([("a", name, "f")], ROWS), name)
+        store.add(spark.createDataFrame([("a", "again", "f")], ROWS), name)
+    assert store.current().batches == tuple(names[-2:])
+    assert sorted(r["value"] for r in store.entries().collect()) == sorted(names)
+
+
+def test_few_files_are_opened(store, spark):
+    """Of the files of an index those whose range may hold the value are read; where they are many, all of them, with the same rows."""
+    store.add(spark.createDataFrame([("a", f"{i:04d}", f"f{j}") for i in range(100) for j in range(3)], ROWS))
+    asked = (Condition("a", "0051"),)
+    assert len(store.entries().inputFiles()) > 10 and len(store.pruned(asked).inputFiles()) <= 2
+    assert len(store.pruned(asked, few=0).inputFiles()) > 10
+    rows = [sorted(map(tuple, needle(store.pruned(asked, few=few), NeedleInHaystackQuery(asked)).collect())) for few in (0, 1000)]
+    assert rows[0] == rows[1] == [(f"f{j}", ["0051"]) for j in range(3)]
+
+
+def test_the_root_index_is_kept_until_the_next_version(store, spark):
+    store.add(spark.createDataFrame([("a", "1", "f")], ROWS))
+    first = store.root_index()
+    assert store.root_index() is first and first.is_cached
+    store.add(spark.createDataFrame([("b", "2", "g")], ROWS))
+    assert sorted(r["column"] for r in store.root_index().collect()) == ["a", "b"]
+
+
 def test_a_stale_writer_is_refused(store, spark):
     before = store.current()
     store.add(spark.createDataFrame([("a", "1", "f")], ROWS))

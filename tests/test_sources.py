@@ -31,12 +31,30 @@ def cells(df):
         ('"a,x",b\n"1,2","say ""hi"""\n', [("a,x", "1,2"), ("b", 'say "hi"')]),
         ("a\n a \n", [("a", " a ")]),
         ("a,b\na,b\n", [("a", "a"), ("b", "b")]),
+        ('a,b\n"one\ntwo",x\n"three ""\n,"" four",y\n', [("a", "one\ntwo"), ("a", 'three "\n," four'), ("b", "x"), ("b", "y")]),
+        ('"a\nb",c\n1,"2\n\n3"\n', [("a\nb", "1"), ("c", "2\n\n3")]),
     ],
 )
 def test_csv(spark, tmp_path, text, expected):
     assert cells(tables.entries(spark, write(tmp_path, x__csv=text))) == expected
 
 
+def test_files_with_and_without_quoted_line_breaks(spark, tmp_path):
+    paths = write(tmp_path, x__csv='a,b\n"1\n2",3\n', y__csv="a,b\n4,5\n", z__csv='b,b\n"1\n2",3\n')
+    found = tables.csv_entries(spark, paths).collect()
+    assert sorted((r["column"], r["value"], r["file"].rsplit("/", 1)[1]) for r in found) == [("a", "1\n2", "x.csv"), ("a", "4", "y.csv"), ("b", "3", "x.csv"), ("b", "5", "y.csv")]
+    assert [r["reason"] for r in tables.rejected(spark, paths).collect()] == ["header"]
+
+
+def test_announcements_are_dealt_to_files(spark, tmp_path):
+    from strawsift.sources.notifications import FILE_PATHS, Notifications
+
+    told = Notifications(spark, f"file://{tmp_path}/n")
+    told.send([f"p{i}" for i in range(2 * FILE_PATHS + 1)])
+    assert len(storage.names(spark, f"file://{tmp_path}/n")) == 3
+    assert spark.read.json(f"{tmp_path}/n").count() == 2 * FILE_PATHS + 1
+
+
 def test_csv_files_of_different_layouts(spark, tmp_path):
     paths = write(tmp_path, x__csv="a,b\n1,2\n", Y__CSV="c,a,d\n3,1,4\n")
     found = tables.entries(spark, paths).collect()
@@ -55,6 +73,9 @@ def test_csv_files_of_different_layouts(spark, tmp_path):
         ('{"a":1}\n{"a":2}\n\n{"b":"é"}\n', [("a", "1"), ("a", "2"), ("b", "é")]),
         ("[{", []),
         ('{"a":1}\n{"a"\n', []),
+        ('\n \n{"a":1}\n[{"a":2}]\r\n3\n', [("a", "1"), ("a", "2")]),
+        ('{\n"a":1\n}', [("a", "1")]),
+        ('{\n"a":1\n}\n{"a":2}\n', []),
         ("", []),
         ("[]", []),
     ],
