@@ -32,6 +32,7 @@ KNOWN = 1_000_000  # the most words whose counts go to every task
 ROUNDS = 2
 SHARE = ROUNDS  # each round learns from one training document in so many; no document is left to none
 SHARD = 1500  # documents of a training shard
+PIECE = 2048  # weights of a shard's model that travel together
 TOGETHER = 1 << 20  # symbols of a shard that are held at once, and those of one more batch
 FOLDS, HELD_OUT = 7, 2
 END = int(mix(np.array([0x656E64], np.uint64))[0])
@@ -177,6 +178,19 @@ def lesson(rows: DataFrame, turn: int) -> DataFrame:
     return rows.where(~F.col("held_out") & (F.pmod("_h", F.lit(SHARE)) == turn))
 
 
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pieces of weights (at, seen, values) the mean at each place, by the symbols that each shard has seen. A piece is added as it
+    comes, so a task holds no more than the sums of its places."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for at, seen, values in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            held = sums.setdefault(at, [0.0, 0.0])
+            held[0] += seen
+            held[1] = held[1] + seen * np.frombuffer(values, np.float32).astype(np.float64)
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([(total / seen).tobytes() for seen, total in sums.values()], pa.binary())], names=["at", "values"])
+
+
 def trained(rows: DataFrame, vocabulary: Vocabulary) -> Model:
     """The model after ROUNDS rounds of training on shards of ``encoded`` documents, averaged after each. A document's shard and place in it
     follow from its hash, so the files' layout makes no difference."""
@@ -206,19 +220,17 @@ def trained(rows: DataFrame, vocabulary: Vocabulary) -> Model:
             if waiting:
                 seen += learn()
             flat = own.flat()
-            for at in range(0, len(flat) if seen else 0, 8192):
-                values = flat[at : at + 8192].astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([float(seen)]), pa.array([values.tolist()], pa.list_(pa.float64()))], names=["at", "seen", "values"])
+            for at in range(0, len(flat) if seen else 0, PIECE):
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([float(seen)]), pa.array([flat[at : at + PIECE].tobytes()], pa.binary())], names=["at", "seen", "values"])
 
         shards = max(1, -(-sizes.get(turn, 0) // SHARD))
         dealt = lesson(rows, turn).select("_h", "doc_id", "symbols").repartition(shards, "_h").sortWithinPartitions("_h", "doc_id")
-        each = dealt.select("symbols").mapInArrow(run, "at long, seen double, values array<double>")
-        each = each.select("at", "seen", F.posexplode("values").alias("i", "v")).groupBy((F.col("at") + F.col("i")).alias("i"))
-        mean = each.agg((F.sum(F.col("v") * F.col("seen")) / F.sum("seen")).alias("v")).toArrow()  # one row a weight
-        if mean.num_rows:
-            flat = model.flat()
-            flat[mean["i"].to_numpy()] = mean["v"].to_numpy()
-            model.take(flat)
+        each = dealt.select("symbols").mapInArrow(run, "at long, seen double, values binary")
+        flat = model.flat()
+        for r in each.repartition("at").mapInArrow(_averaged, "at long, values binary").toArrow().to_pylist():  # the weights of one model
+            values = np.frombuffer(r["values"], np.float64)
+            flat[r["at"] : r["at"] + len(values)] = values
+        model.take(flat)
     return model
 
 
