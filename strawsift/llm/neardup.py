@@ -8,8 +8,9 @@ each coordinate, gives the signature: ``minimum of pi(sigma(x) + j * STEP)``. Wi
 Equal sets are one class, and only its representative (least doc_id) goes on. Candidates are verified on full sets:
 
 1. each member of a bucket against the bucket's least member; the links that hold are joined into components;
-2. where a bucket still holds more than one component, all its rows across components, by an inverted index over their full sets
-   in tasks of bounded size; so no link inside a bucket is lost, and pairs are counted there but never made into rows.
+2. where a bucket still holds more than one component, all its rows across components that share a shingle of their prefixes, by an
+   inverted index over their full sets in tasks of bounded size; so no link inside a bucket is lost, and pairs are counted there
+   but never made into rows.
 
 All joins are splittable where a key is hot, and nothing of a bucket's size stands in one task or on the driver.
 
@@ -34,6 +35,7 @@ from .textkernel import Block, blocks, grams, mix, text_bytes
 
 BANDS, ROWS = 32, 4
 CHUNK = 1 << 15  # shingles on either side of a task of step 2
+SLOT_BITS = 17  # of the sketch that orders shingles in step 2: a megabyte on the driver and in each task
 STEP = np.uint32(0x9E3779B1)
 _SIGMA = np.uint64(0xA0761D6478BD642F)
 
@@ -161,17 +163,17 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
 def linked(nodes: DataFrame, docs: DataFrame, k: int, percent: int, ties: DataFrame | None = None) -> DataFrame:
     """(node, component) of the representatives ``nodes`` (_id, n_shingles, _bands). ``ties``: links (a, b) that are known."""
-    member = nodes.select(F.col("_id").alias("a"), "n_shingles", F.explode("_bands").alias("_key"))
+    member = nodes.select(F.col("_id").alias("a"), F.explode("_bands").alias("_key"))
     heads = cut(member.groupBy("_key").agg(F.min("a").alias("b"), F.count("*").alias("_n")).where("_n > 1"))
     heads = heads.withColumnRenamed("_key", "_hk")
     shared = member.join(heads, F.col("_key") == F.col("_hk")).drop("_hk")
     links = verified(shared.where("a <> b").select("a", "b").distinct(), docs, k, percent)
     joined = cut(components(links if ties is None else links.unionByName(ties)))
 
-    labelled = shared.where("_n > 2").join(joined, F.col("a") == F.col("node"), "left").select("_key", "a", "n_shingles", F.coalesce("component", "a").alias("_c"))
+    labelled = shared.where("_n > 2").join(joined, F.col("a") == F.col("node"), "left").select("_key", "a", F.coalesce("component", "a").alias("_c"))
     labelled = cut(labelled)
     split = cut(labelled.groupBy(F.col("_key").alias("_sk")).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi"))
-    inside, left = counted(labelled.join(split, F.col("_key") == F.col("_sk")).select("a", "n_shingles", "_c", "_lo").distinct())
+    inside, left = counted(labelled.join(split, F.col("_key") == F.col("_sk")).select("a", "_c", "_lo").distinct())
     first = nodes.select(F.col("_id").alias("_node")).distinct().join(joined, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("component", "_node").alias("_first"))
     if not left:
         return first.toDF("node", "component")
@@ -180,60 +182,128 @@ def linked(nodes: DataFrame, docs: DataFrame, k: int, percent: int, ties: DataFr
 
 
 def crossing(inside: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of components that link, of those that meet in a bucket: all pairs of their rows are covered. ``inside``: rows a of such buckets with n_shingles, their component _c and the least component _lo of the bucket.
+    """Pairs (a, b) of components that link, of those that meet in a bucket: all pairs of their rows are covered. ``inside``: rows a of such buckets with their component _c and the least component _lo of the bucket.
 
-    Components that meet, directly or over others, are a family. The rows of a family outside its largest component are held
-    against all of it by an inverted index over full sets, in tasks of about CHUNK shingles on either side.
+    Components that meet, directly or over others, are a family. Rows that link share a shingle of their prefixes (``prefixes``); so a
+    family falls into those of its components that share one, and rows that share none with another component link with none and
+    go. What is left of a family outside its largest component is held against all of it by an inverted index over full sets,
+    in tasks of about CHUNK shingles on either side.
     """
     family = components(inside.where("_c <> _lo").select(F.col("_c").alias("a"), F.col("_lo").alias("b")))
-    people = inside.select("a", "n_shingles", "_c").distinct()
-    people = cut(people.join(family, F.col("_c") == F.col("node")).select("a", "n_shingles", "_c", F.col("component").alias("_f")))
-    parts = people.groupBy("_f", "_c").agg(F.count("*").alias("_m"), F.sum("n_shingles").alias("_s"))
-    sizes = parts.groupBy(F.col("_f").alias("_ff")).agg(F.max(F.struct("_m", "_c", "_s")).alias("_main"), F.sum("_m").alias("_m"), F.sum("_s").alias("_s")).where("_m > 2")
+    people = inside.select("a", "_c").distinct().join(family, F.col("_c") == F.col("node")).select("a", "_c", F.col("component").alias("_f"))
+    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("_text"))
+    met = cut(with_sets(people.join(texts, F.col("a") == F.col("_id")).select("a", "_c", "_f", "_text"), k))
+    near = prefixes(met, percent, slot_counts(met))
+    shared = near.groupBy(F.col("_f").alias("_ff"), F.col("_t").alias("_tt")).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
+    near = cut(near.join(shared, (F.col("_f") == F.col("_ff")) & (F.col("_t") == F.col("_tt"))).select(F.col("a").alias("_n"), F.col("_c").alias("_nc"), "_lo").distinct())
+    part = components(near.where("_nc <> _lo").select(F.col("_nc").alias("a"), F.col("_lo").alias("b")))
+    near = cut(near.select("_n", "_nc").distinct().join(part, F.col("_nc") == F.col("node")).select("_n", F.col("component").alias("_p")))
+    rows = met.join(near, F.col("a") == F.col("_n")).select("a", "_c", F.col("_p").alias("_f"), "_set")
+    parts = rows.groupBy("_f", "_c").agg(F.count("*").alias("_m"), F.sum(F.size("_set")).alias("_s"))
+    sizes = parts.groupBy(F.col("_f").alias("_ff")).agg(F.max(F.struct("_m", "_c", "_s")).alias("_main"), F.sum("_s").alias("_s"))
     chunks = lambda s: F.greatest(F.lit(1), F.ceil(s / CHUNK)).cast("int")
     sizes = sizes.select("_ff", F.col("_main._c").alias("_mc"), chunks(F.col("_s")).alias("_ny"), chunks(F.col("_s") - F.col("_main._s")).alias("_nx"))
-    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("_text"))
-    rows = people.join(sizes, F.col("_f") == F.col("_ff")).join(texts, F.col("a") == F.col("_id")).select("a", "_c", "_f", "_mc", "_nx", "_ny", "_text")
     mine = lambda n: F.pmod(F.xxhash64("a"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    x = rows.where("_c <> _mc").select("_f", mine(F.col("_nx")).alias("_x"), every(F.col("_ny")).alias("_y"), F.lit(0).alias("_side"), "a", "_c", "_text")
-    y = rows.select("_f", every(F.col("_nx")).alias("_x"), mine(F.col("_ny")).alias("_y"), F.lit(1).alias("_side"), "a", "_c", "_text")
-    dealt = x.unionByName(y).repartition("_f", "_x", "_y").sortWithinPartitions("_f", "_x", "_y", "_side")
+    cell = lambda x, y, side: F.struct(x.alias("_x"), y.alias("_y"), F.lit(side).alias("_side"))
+    across = F.transform(F.sequence(F.lit(0), F.when(F.col("_c") != F.col("_mc"), F.col("_ny") - 1)), lambda y: cell(mine(F.col("_nx")), y, 0))
+    down = F.transform(F.sequence(F.lit(0), F.col("_nx") - 1), lambda x: cell(x, mine(F.col("_ny")), 1))
+    cells = rows.join(sizes, F.col("_f") == F.col("_ff")).select("_f", "_c", "_set", F.explode(F.when(F.col("_c") != F.col("_mc"), F.concat(across, down)).otherwise(down)).alias("_at"))
+    dealt = cells.select("_f", "_at._x", "_at._y", "_at._side", "_c", "_set").repartition("_f", "_x", "_y").sortWithinPartitions("_f", "_x", "_y", "_side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, ([], [])
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, part.schema.field(4).type) for c in _links(*held, k, percent)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, batch.schema.field(4).type) for c in _links(*held, percent)], names=["a", "b"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                f, i, j, side, a, c, text = (x.to_pylist() for x in part.columns)
-                for key, s, row in zip(zip(f, i, j, strict=True), side, zip(a, c, text, strict=True), strict=True):
-                    if key != at:
-                        if at is not None:
-                            yield done()
-                        at, held = key, ([], [])
-                    held[s].append(row)
+            f, i, j, side, c = (x.to_pylist() for x in batch.columns[:5])
+            flat, to = _flat(batch.column(5))
+            for n, (key, s) in enumerate(zip(zip(f, i, j, strict=True), side, strict=True)):
+                if key != at:
+                    if at is not None:
+                        yield done()
+                    at, held = key, ([], [])
+                held[s].append((c[n], flat[to[n] : to[n + 1]].copy()))
         if at is not None:
             yield done()
 
-    kind = people.schema["a"].dataType.simpleString()
+    kind = people.schema["_c"].dataType.simpleString()
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _links(xs: list[tuple], ys: list[tuple], k: int, percent: int) -> tuple[list, list]:
-    """Of rows (id, component, text): the component of each x, and each other one that it links with."""
-    sets = [shingles(b, k) for t in (xs, ys) for _, _, b in blocks([(r[2] or "").encode() for r in t], lower=True, size=1 << 62)]
-    if len(sets) < 2:
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of lists, and where each list begins (n + 1 places)."""
+    to = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[to[0] : to[-1]].view(np.uint64), to - to[0]
+
+
+def with_sets(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with the set (_set) of their last column, _text, in its place."""
+    given = rows.schema.fields[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop, b in blocks(text_bytes(batch.column(len(given))), lower=True):
+                sets, at = shingles(b, k)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns[:-1]), lists], names=[*(f.name for f in given), "_set"])
+
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given) + ", _set array<long>")
+
+
+def _slot(sets: np.ndarray) -> np.ndarray:
+    return (mix(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def slot_counts(met: DataFrame) -> np.ndarray:
+    """How many shingles of all rows fall into each of 2**SLOT_BITS slots: a sketch of fixed size, whatever the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            total += np.bincount(_slot(_flat(batch.column(0))[0]), minlength=len(total))
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["_slot", "_n"])
+
+    found = met.select("_set").mapInArrow(run, "_slot int, _n long").groupBy("_slot").agg(F.sum("_n").alias("_n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[found["_slot"].to_numpy()] = found["_n"].to_numpy()
+    return out
+
+
+def prefixes(met: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
+    """(_f, _t, a, _c): the prefix of each row's set, of n shingles the first n - ceil(percent * n / 100) + 1 in an order that all rows share.
+
+    Sets that link have at least percent * n / 100 shingles in common, of the n of either, so their prefixes can't be disjoint. The
+    order only decides on the work: shingles of emptier slots come first, which leaves the ones that very many rows have to the end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, to = _flat(batch.column(3))
+            n = np.diff(to)
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, counts[_slot(flat)], owner))
+            place = np.arange(len(flat)) - np.repeat(to[:-1], n)
+            first = order[place < np.repeat(n - (percent * n + 99) // 100 + 1, n)]
+            rows = pa.array(owner[first])
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(rows), pa.array(flat[first].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["_f", "_t", "a", "_c"])
+
+    kind = {f.name: f.dataType.simpleString() for f in met.schema.fields}
+    return met.select("a", "_c", "_f", "_set").mapInArrow(run, f"_f {kind['_f']}, _t long, a {kind['a']}, _c {kind['_c']}")
+
+
+def _links(xs: list[tuple], ys: list[tuple], percent: int) -> tuple[list, list]:
+    """Of rows (component, set): the component of each x, and each other one that it links with."""
+    if not xs or not ys:
         return [], []
-    (mine, at), (theirs, to) = sets
+    (mine, at), (theirs, to) = ((np.concatenate([r[1] for r in t]), np.cumsum([0] + [len(r[1]) for r in t])) for t in (xs, ys))
     owner = np.repeat(np.arange(len(ys)), np.diff(to))
     order = np.argsort(theirs, kind="stable")
     theirs, owner, size = theirs[order], owner[order], np.diff(to)
-    names = {c: i for i, c in enumerate(dict.fromkeys(r[1] for r in ys))}
-    group = np.array([names[r[1]] for r in ys])
+    names = {c: i for i, c in enumerate(dict.fromkeys(r[0] for r in ys))}
+    group = np.array([names[r[0]] for r in ys])
     low, high = np.searchsorted(theirs, mine), np.searchsorted(theirs, mine, "right")
     a, b = [], []
     for i, row in enumerate(xs):
@@ -241,10 +311,10 @@ def _links(xs: list[tuple], ys: list[tuple], k: int, percent: int) -> tuple[list
         places = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
         shared = np.bincount(owner[places], minlength=len(ys))
         union = at[i + 1] - at[i] + size - shared
-        hit = np.flatnonzero((shared > 0) & (100 * shared >= percent * union) & (group != names.get(row[1], -1)))
+        hit = np.flatnonzero((shared > 0) & (100 * shared >= percent * union) & (group != names.get(row[0], -1)))
         for j in hit[np.unique(group[hit], return_index=True)[1]]:
-            a.append(row[1])
-            b.append(ys[j][1])
+            a.append(row[0])
+            b.append(ys[j][0])
     return a, b
 
 

@@ -104,11 +104,35 @@ def test_crossing_covers_chunks(spark, monkeypatch):
     base = prose(9, 120)
     rows = [(i, edited(base, 0.02, i), "en", "s", None) for i in range(30)]
     sets = [brute.shingle_set(r[1], 3) for r in rows]
-    inside = spark.createDataFrame([(i, len(s), i, 0) for i, s in enumerate(sets)], "a long, n_shingles long, _c long, _lo long")
+    inside = spark.createDataFrame([(i, i, 0) for i in range(30)], "a long, _c long, _lo long")
     found = {tuple(sorted(r)) for r in neardup.crossing(inside, spark.createDataFrame(rows, DOCS), 3, 85).collect()}
     assert found == {(i, j) for j in range(30) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_prefixes_of_links_meet(spark, percent):
+    """Sets that link share a shingle of their prefixes, whatever the order; sets far apart are left out by them."""
+    base = prose(9, 120)
+    rows = [(i, i, 0, edited(base, (0.01, 0.03, 0.3)[i % 3], i)) for i in range(30)] + [(30, 30, 0, ""), (31, 31, 0, None), (32, 32, 0, "two words")]
+    met = neardup.with_sets(spark.createDataFrame(rows, "a long, _c long, _f long, _text string"), 3)
+    full = {r["a"]: set(r["_set"]) for r in met.collect()}
+    assert [len(full[i]) for i, _, _, _ in rows] == [len(brute.shingle_set(r[3], 3)) for r in rows]
+    links = {(i, j) for j in full for i in full if i < j and full[i] and 100 * len(full[i] & full[j]) >= percent * len(full[i] | full[j])}
+    assert links
+    counts = neardup.slot_counts(met)
+    assert counts.sum() == sum(map(len, full.values()))
+    for order in (counts, counts * 0, -counts):
+        first = {}
+        for r in neardup.prefixes(met, percent, order).collect():
+            first.setdefault(r["a"], set()).add(r["_t"])
+        assert set(first) == {i for i in full if full[i]} and all(first[i] <= full[i] for i in first)
+        assert all(len(first[i]) == len(full[i]) + 1 - -(-percent * len(full[i]) // 100) for i in first)
+        meet = {(i, j) for j in first for i in first if i < j and first[i] & first[j]}
+        assert links <= meet
+        if order is counts:
+            assert len(meet) < len(first) * (len(first) - 1) // 2
+
+
 def test_one_of_each_class_stays(edge, edge_rows, clashing, empty):
     assert key(neardup.keep_one(edge).collect()) == key(brute.keep_one(edge_rows))
     assert neardup.keep_one(clashing).columns == clashing.columns
