@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import csv
+import io
+import json
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +37,9 @@ def file_facts(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.select(F.col("path").alias("file"), F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)]).alias("meta"))
 
 
-def extracted(spark: SparkSession, paths: list[str], extractors: list[Extractor]) -> DataFrame:
-    """(file, meta) by Python extractors over each file's content; of a key that two give, the first one's value stays."""
+def extracted(spark: SparkSession, paths: list[str], extractors: Sequence[Extractor]) -> DataFrame:
+    """(file, meta) by Python extractors over each file's content; of a key that two give, the first one's value stays. Empty files
+    have no row: the scan passes over them."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,6 +58,34 @@ def extracted(spark: SparkSession, paths: list[str], extractors: list[Extractor]
     return files.mapInPandas(run, "file string, meta map<string,string>")
 
 
+def csv_shape(path: str, content: bytes) -> dict[str, str]:
+    """Of a .csv file: the names of its columns and how many rows follow them; blank lines are none."""
+    if not path.lower().endswith(".csv"):
+        return {}
+    rows = (r for r in csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""), strict=True) if r)
+    head = next(rows, [])
+    return {"csv:columns": ",".join(head), "csv:rows": str(sum(1 for _ in rows))} if head else {}
+
+
+def json_keys(path: str, content: bytes) -> dict[str, str]:
+    """Of a .json file: the keys of its object, or of all objects of its array, in the order of their first use, and how many objects."""
+    if not path.lower().endswith(".json"):
+        return {}
+    value = json.loads(content)
+    objects = [o for o in (value if isinstance(value, list) else [value]) if isinstance(o, dict)]
+    return {"json:keys": ",".join(dict.fromkeys(k for o in objects for k in o)), "json:objects": str(len(objects))}
+
+
+def html_title(path: str, content: bytes) -> dict[str, str]:
+    """Of a .html or .htm file: its title, white space made single spaces."""
+    found = re.search(rb"<title[^>]*>(.*?)</title", content, re.I | re.S) if path.lower().endswith((".html", ".htm")) else None
+    return {"title": " ".join(found[1].decode().split())} if found else {}
+
+
+#: Extractors for ``extracted`` that read contents; each gives nothing of files that aren't its kind.
+CONTENT = (csv_shape, json_keys, html_title)
+
+
 def pairs(maps: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """(file, key, value) of each file's metadata, without the ignored keys."""
     fine = F.map_filter("meta", lambda k, v: ~k.isin(*ignored) & v.isNotNull())

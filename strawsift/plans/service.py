@@ -7,7 +7,7 @@ import logging
 import os
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -115,8 +115,8 @@ class Lake:
             self.index.add(tables.entries(self.spark, known), batch)
         event("ingestion-end", IngestionId=ingestion, IngestionType="Content", FilesCount=len(known), TotalSize=self._size(known))
 
-    def index_metadata(self, paths: list[str], batch: str | None = None, extractors: list[metadata.Extractor] | None = None) -> None:
-        """Add files' metadata to the sketches; ``extractors`` read contents, else the file system's facts count."""
+    def index_metadata(self, paths: list[str], batch: str | None = None, extractors: Sequence[metadata.Extractor] | None = None) -> None:
+        """Add files' metadata to the sketches; ``extractors`` (such as metadata.CONTENT) read contents, else the file system's facts count."""
         ingestion = str(uuid.uuid4())
         event("ingestion-start", IngestionId=ingestion, IngestionType="Metadata", FilesCount=len(paths), TotalSize=self._size(paths))
         if paths:

@@ -88,6 +88,33 @@ def test_facts_and_extractors(spark, tmp_path):
     assert metadata.extracted(spark, [f"file://{tmp_path}/x.csv"], [broken]).first()["meta"] == {}
 
 
+def test_content_extractors(spark, tmp_path):
+    files = {
+        "a.csv": b'\xef\xbb\xbfid,"na\nme"\n1,x\n\n2,"two\nlines"\n',
+        "empty.csv": b"",  # Spark's scan passes over empty files
+        "latin.csv": b"caf\xe9,x\n1,2\n",
+        "b.JSON": b'[{"k": 1, "l": 2}, {"m": {"deep": 1}, "k": 3}, 4]',
+        "one.json": b'{"k": [1]}',
+        "broken.json": b'{"k": ',
+        "c.html": b"<html><TITLE lang=en>Two\n words</TITLE></html>",
+        "d.htm": b"<p>none</p>",
+        "e.txt": b"<title>no</title>",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = {r["file"].rsplit("/", 1)[-1]: r["meta"] for r in metadata.extracted(spark, [f"file://{tmp_path}"], metadata.CONTENT).collect()}
+    assert found == {
+        "a.csv": {"csv:columns": "id,na\nme", "csv:rows": "2"},
+        "latin.csv": {},
+        "b.JSON": {"json:keys": "k,l,m", "json:objects": "2"},
+        "one.json": {"json:keys": "k", "json:objects": "1"},
+        "broken.json": {},
+        "c.html": {"title": "Two words"},
+        "d.htm": {},
+        "e.txt": {},
+    }
+
+
 def test_text_rules(spark):
     df = spark.createDataFrame([("s3://b/d.x/N.CSV",), ("none",), ("a/b.tar.gz",)], "p string")
     assert [tuple(r) for r in df.select(extension(F.col("p")), file_name(F.col("p")), allowed(F.col("p"), (".csv",))).collect()] == [(".csv", "N.CSV", True), ("", "none", False), (".gz", "b.tar.gz", False)]

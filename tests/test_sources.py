@@ -114,3 +114,41 @@ def test_storage(spark, tmp_path):
     with pytest.raises(storage.NotThere):
         storage.get(spark, f"{root}/a/x.bin")
     assert storage.content_path("r", "x.CSV").endswith(".CSV")
+
+
+class _Kafka:
+    """A reader or writer that notes what it is asked for, in place of the connector."""
+
+    def __init__(self, rows=None):
+        self.rows, self.asked = rows, {}
+
+    def format(self, name):
+        self.asked["format"] = name
+        return self
+
+    def options(self, **given):
+        self.asked |= given
+        return self
+
+    def load(self):
+        return self.rows
+
+    def save(self):
+        self.asked["saved"] = True
+
+
+def test_kafka_is_asked_for_the_topic(spark):
+    """The options and columns only; no broker is here."""
+    from types import SimpleNamespace
+
+    from strawsift.sources import notifications
+
+    reader = _Kafka(spark.createDataFrame([(b"p", b"p", 7), (None, b"q", 8)], "key binary, value binary, offset long"))
+    rows = notifications.kafka_stream(SimpleNamespace(readStream=reader), "h:1,g:2", "files", offsets=5)
+    assert sorted(map(tuple, rows.collect()), key=repr) == [("p", "p"), (None, "q")] and rows.columns == ["key", "value"]
+    assert {k: reader.asked[k] for k in ("format", "kafka.bootstrap.servers", "subscribe", "startingOffsets", "maxOffsetsPerTrigger")} == {"format": "kafka", "kafka.bootstrap.servers": "h:1,g:2", "subscribe": "files", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "5"}
+
+    writer, columns = _Kafka(), []
+    notifications.kafka_send(SimpleNamespace(select=lambda *c: columns.extend(c) or SimpleNamespace(write=writer)), "h:1", "files")
+    assert writer.asked == {"format": "kafka", "kafka.bootstrap.servers": "h:1", "topic": "files", "saved": True}
+    assert [tuple(r) for r in spark.createDataFrame([("x",)], "path string").select(*columns).collect()] == [("x", "x")]
