@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, cut, same, small_side
+from .common import counted, cut, same, sieved, small_side
 from .components import components
 from .textkernel import Block, blocks, grams, mix, text_bytes
 
@@ -127,9 +127,16 @@ class _Sets:
             self.size -= self.held.popitem(last=False)[1].nbytes
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(_id, _text): the texts of the documents ``ids`` (a column, repeats allowed), and of a few others that the sieve can't tell from them."""
+    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("_text"))
+    return sieved(texts, ["_id"], ids).where("_maybe").drop("_maybe")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with ``100 * intersection >= percent * union`` over their full sets."""
-    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("_text"))
+    pairs = cut(pairs)
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b"))))
     left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta"))
     right = texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb")
@@ -172,7 +179,7 @@ def linked(nodes: DataFrame, docs: DataFrame, k: int, percent: int, ties: DataFr
 
     labelled = shared.where("_n > 2").join(joined, F.col("a") == F.col("node"), "left").select("_key", "a", F.coalesce("component", "a").alias("_c"))
     labelled = cut(labelled)
-    split = cut(labelled.groupBy(F.col("_key").alias("_sk")).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi"))
+    split = labelled.groupBy(F.col("_key").alias("_sk")).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
     inside, left = counted(labelled.join(split, F.col("_key") == F.col("_sk")).select("a", "_c", "_lo").distinct())
     first = nodes.select(F.col("_id").alias("_node")).distinct().join(joined, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("component", "_node").alias("_first"))
     if not left:
@@ -191,7 +198,7 @@ def crossing(inside: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     """
     family = components(inside.where("_c <> _lo").select(F.col("_c").alias("a"), F.col("_lo").alias("b")))
     people = inside.select("a", "_c").distinct().join(family, F.col("_c") == F.col("node")).select("a", "_c", F.col("component").alias("_f"))
-    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("string").alias("_text"))
+    texts = texts_of(docs, inside.select("a"))
     met = cut(with_sets(people.join(texts, F.col("a") == F.col("_id")).select("a", "_c", "_f", "_text"), k))
     near = prefixes(met, percent, slot_counts(met))
     shared = near.groupBy(F.col("_f").alias("_ff"), F.col("_t").alias("_tt")).agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo < _hi")
@@ -318,21 +325,30 @@ def _links(xs: list[tuple], ys: list[tuple], percent: int) -> tuple[list, list]:
     return a, b
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(_id, n_shingles, component): a row for each row of ``docs``; component is the least doc_id of its class."""
+def classed(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(_id, n_shingles, component): a row for each row of ``docs``; component is the least doc_id of its class. Also the ids (_id) that several
+    rows have, and how many."""
     base = cut(hashed(docs, k, bands, rows))
     full = base.where("n_shingles > 0 AND _id IS NOT NULL")
     reps = full.groupBy("_sa", "_sb").agg(F.min("_id").alias("_rep"))
     at = reps.select(F.col("_sa").alias("_ra"), F.col("_sb").alias("_rb"), "_rep")
     mine = (F.col("_sa") == F.col("_ra")) & (F.col("_sb") == F.col("_rb"))
     nodes = cut(full.join(at, mine & (F.col("_id") == F.col("_rep"))).select("_id", "n_shingles", "_bands").dropDuplicates(["_id", "_bands"]))
-    many, several = counted(full.groupBy(F.col("_id").alias("b")).agg(F.min(F.struct("_sa", "_sb")).alias("_lo"), F.max(F.struct("_sa", "_sb")).alias("_hi")).where("_lo <> _hi").select("b"))
+    own = F.when(F.col("n_shingles") > 0, F.struct("_sa", "_sb"))
+    again, repeated = counted(base.where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("_n"), F.min(own).alias("_lo"), F.max(own).alias("_hi")).where("_n > 1"))
     ties = None
-    if several:  # an id that has several sets ties them together
-        ties = full.join(at, mine).select(F.col("_rep").alias("a"), F.col("_id").alias("b")).join(many, "b").select("a", "b").distinct()
+    if repeated:  # an id that has several sets ties them together
+        several = again.where("_lo <> _hi").select(F.col("_id").alias("b"))
+        ties = full.join(at, mine).select(F.col("_rep").alias("a"), F.col("_id").alias("b")).join(several, "b").select("a", "b").distinct()
     by_id = linked(nodes, docs, k, percent, ties)
     named = cut(at.join(by_id, F.col("_rep") == F.col("node")).select("_ra", "_rb", "component"))
-    return base.join(named, mine & (F.col("n_shingles") > 0) & F.col("_id").isNotNull(), "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))
+    found = base.join(named, mine & (F.col("n_shingles") > 0) & F.col("_id").isNotNull(), "left").select("_id", "n_shingles", F.coalesce("component", "_id").alias("component"))
+    return found, again.select("_id"), repeated
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(_id, n_shingles, component): a row for each row of ``docs``; component is the least doc_id of its class."""
+    return classed(docs, k, percent, bands, rows)[0]
 
 
 def report(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
@@ -343,12 +359,12 @@ def report(docs: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the least doc_id; of rows that repeat an id, one."""
-    found = cut(classes(docs, k, percent))
+    found, again, repeated = classed(docs, k, percent, BANDS, ROWS)
     gone = small_side(found.where("component <> _id").select(F.col("_id").alias("_gone")).distinct())
     kept = docs.join(gone, same(docs["doc_id"], gone["_gone"]), "left_anti")
-    many, repeated = counted(found.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1 AND _id IS NOT NULL").select(F.col("_id").alias("_many")))
     if not repeated:
         return kept
+    many = again.withColumnRenamed("_id", "_many")
     once = kept.join(many, kept["doc_id"] == many["_many"], "left_anti")
     rows = kept.join(many, kept["doc_id"] == many["_many"], "left_semi").select(F.struct(*[kept[c] for c in docs.columns]).alias("_row"))
     rows = rows.groupBy("_row.doc_id").agg(F.min_by("_row", F.sha2(F.coalesce(F.col("_row.text").cast("binary"), F.lit(b"")), 256)).alias("_row"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strawsift.llm import bpe, lines, mixing, neardup, oracles, pii, quality, queries, topk
+from strawsift.llm.common import sieved
 from strawsift.llm.components import components
 
 from . import brute
@@ -419,3 +420,18 @@ def test_pipeline(spark, edge_rows, tmp_path, monkeypatch):
             docs.write.parquet(f"{tmp_path}/{name}")
             docs = spark.read.parquet(f"{tmp_path}/{name}")
     assert docs.count() == len(truth)
+
+
+# sieves
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 25])
+def test_a_sieve_loses_nothing(spark, bits):
+    """Whatever the size, all rows that are wanted pass, nulls too; others seldom do while the sieve is large; columns stay."""
+    rows = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("_slot0"))
+    wanted = rows.where("k IS NULL OR k % 50 = 0").select("k")
+    found = sieved(rows, ["k"], wanted.unionByName(wanted), bits)
+    assert found.columns == [*rows.columns, "_maybe"] and found.count() == 5000
+    passed = {r["k"] for r in found.where("_maybe").collect()}
+    assert passed >= {r["k"] for r in wanted.collect()} and len(passed) <= (100 if bits > 1 << 20 else 150)
+    assert sieved(rows, ["k"], wanted.where("false"), bits).where("_maybe").count() == 0
