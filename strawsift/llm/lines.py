@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, same
+from .common import cut, same, sieved
 from .textkernel import Block, blocks, grams, text_bytes
 
 LINES = 3
@@ -74,8 +74,11 @@ def _without(text: str, covered: list[int]) -> str:
 def marked(docs: DataFrame) -> DataFrame:
     """(_row, _text, _covered): every document, with the numbers of its lines to remove (null: none)."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["text"].alias("_text"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_text_hash"))
-    gone = covered(docs)
-    return rows.join(gone, same(rows["_id"], gone["_i"]) & (rows["_text_hash"] == gone["_h"]), "left").select("_row", "_text", "_covered")
+    gone = cut(covered(docs))
+    rows = sieved(rows, ["_id", "_text_hash"], gone.select("_i", "_h"))
+    met = rows.where("_maybe")
+    met = met.join(gone, same(met["_id"], gone["_i"]) & (met["_text_hash"] == gone["_h"]), "left").select("_row", "_text", "_covered")
+    return rows.where("NOT _maybe").select("_row", "_text", F.lit(None).cast("array<int>").alias("_covered")).unionByName(met)
 
 
 def _rewritten(rows: DataFrame) -> DataFrame:
