@@ -93,13 +93,14 @@ def ceiling(values: DataFrame, root: DataFrame, file: str = "index_file") -> Dat
     marks = root.select("column", F.col("max").alias("value"), F.lit(0).alias("_asked"), F.col(file).cast("string").alias("_file"))
     asked = values.select("column", "value").distinct().select("column", "value", F.lit(1).alias("_asked"), F.lit(None).cast("string").alias("_file"))
     both = materialised(marks.unionByName(asked).repartitionByRange("column", "value").withColumn("_part", F.spark_partition_id()))
-    # of equal values the mark comes last in ascending order, so that a look-ahead meets it
-    inside = Window.partitionBy("_part", "column").orderBy("value", F.col("_asked").desc(), F.col("_file").desc()).rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("_here", F.first("_file", ignorenulls=True).over(inside))
+    # of equal values the marks come first, the least file last of them. Both windows run downwards and look back: Spark adds up such a
+    # frame as it goes on, but starts anew at every row for one that ends at the last row, which takes the square of a range's rows
+    inside = Window.partitionBy("_part", "column").orderBy(F.col("value").desc(), "_asked", F.col("_file").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_here", F.last("_file", ignorenulls=True).over(inside))
     heads = both.where("_asked = 0").groupBy("column", "_part").agg(F.min(F.struct("value", "_file")).alias("_h"))
     # what lies in later ranges of the column: one row a range and column
     parts = both.select("column", "_part").distinct().join(heads, ["column", "_part"], "left")
-    later = Window.partitionBy("column").orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    next_ = parts.select(F.col("column").alias("_c"), F.col("_part").alias("_p"), F.first("_h._file", ignorenulls=True).over(later).alias("_next"))
+    later = Window.partitionBy("column").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    next_ = parts.select(F.col("column").alias("_c"), F.col("_part").alias("_p"), F.last("_h._file", ignorenulls=True).over(later).alias("_next"))
     found = both.where("_asked = 1").join(next_, (F.col("column") == F.col("_c")) & (F.col("_part") == F.col("_p")))
     return found.select("column", "value", F.coalesce("_here", "_next", F.lit(END_OF_INDEX)).alias(file))

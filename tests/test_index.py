@@ -6,6 +6,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from strawsift.operators import inverted
 from strawsift.plans.models import CardinalityQuery, Condition, FrequencyQuery, InvalidQueryFormat, NeedleInHaystackQuery, parsed
@@ -128,6 +129,25 @@ def test_ceiling(spark, marks, asked):
     assert found == truth | {("z", "a"): inverted.END_OF_INDEX}
 
 
+def test_a_long_column_is_looked_up_in_one_pass(spark, capsys):
+    """No window goes on to the end of its rows at each row; so a range takes time by its rows, not by their square."""
+    n, step = 60_000, 50
+    root = spark.range(step - 1, n, step).select(F.lit("a").alias("column"), F.format_string("%06d", "id").alias("max"), F.format_string("f%06d", "id").alias("index_file"))
+    values = spark.range(n + 1).select(F.lit("a").alias("column"), F.format_string("%06d", "id").alias("value"))
+    found = inverted.ceiling(values, root)
+    found.explain("extended")
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+    last = F.expr(f"format_string('f%06d', CAST(value AS INT) div {step} * {step} + {step - 1})")
+    right = found.where(F.when(F.col("value") == f"{n:06d}", F.col("index_file") == inverted.END_OF_INDEX).otherwise(F.col("index_file") == last))
+    assert found.count() == right.count() == n + 1
+
+
+def test_of_equal_ranges_the_first_file_is_found_wherever_a_value_stands(spark):
+    root = spark.createDataFrame([("a", "m", f) for f in ("2", "1", "3")], "column string, max string, index_file string")
+    values = spark.createDataFrame([("a", f"{c}{i:03d}") for c in "bcdl" for i in range(200)] + [("a", "m")], "column string, value string")
+    assert {r["index_file"] for r in inverted.ceiling(values, root).collect()} == {"1"}
+
+
 def test_ranges_upserted_and_ordered(spark):
     kind = "column string, index_file string, min string, max string"
     root = spark.createDataFrame([("a", "1", "a", "c"), ("a", "2", "d", "f"), ("b", "1", "x", "x")], kind)
