@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkernel import resting
+
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: The pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -171,14 +173,14 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     return _mapped(docs, text, f"{ids} binary", lambda c, t: [c.encode(t)], path, split_special)
 
 
-def encode_checked(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", checked: str = "round_trip") -> DataFrame:
-    """As ``encode``, with the column ``checked``: do the ids decode to the text. One pass, one codec a worker."""
+def encode_checked(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", checked: str = "round_trip", keep: bool = True) -> DataFrame:
+    """As ``encode``, with the column ``checked``: do the ids decode to the text. One pass, one codec a worker. ``keep``: does the text stay."""
 
     def both(c: Codec, t: str) -> list:
         coded = c.encode(t)
         return [coded, c.decode(coded) == t]
 
-    return _mapped(docs, text, f"{ids} binary, {checked} boolean", both, path, True)
+    return _mapped(docs, text, f"{ids} binary, {checked} boolean", both, path, True, keep)
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -193,13 +195,14 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         ids = c.encode(t)
         return [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()]
 
-    return _mapped(docs.select("doc_id", "text"), "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", both, path, True).drop("text")
+    return _mapped(docs.select("doc_id", "text"), "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", both, path, True, keep=False)
 
 
-def _mapped(docs: DataFrame, column: str, adds: str, each, path: str | None, split_special: bool) -> DataFrame:
+def _mapped(docs: DataFrame, column: str, adds: str, each, path: str | None, split_special: bool, keep: bool = True) -> DataFrame:
+    """``keep``: does ``column`` stay. If not, it goes to the workers once, not a second time among the columns that come back."""
     given = docs.schema[column].dataType.simpleString()
     names = [x.split()[0] for x in adds.split(", ")]
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in names]).alias("_row"), docs[column].alias("_given"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c not in names and (keep or c != column)]).alias("_row"), docs[column].alias("_given"))
     made = "".join(f", {x}" for x in adds.split(", "))
     width, empty = adds.count(",") + 1, b"" if given == "binary" else ""
 
@@ -213,4 +216,4 @@ def _mapped(docs: DataFrame, column: str, adds: str, each, path: str | None, spl
         c.kept.clear()  # an idle worker holds no words
 
     row = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row {row}{made}").select("_row.*", *names)
+    return rows.mapInArrow(resting(run), f"_row {row}{made}").select("_row.*", *names)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, same, sieved
-from .textkernel import Block, blocks, grams, text_bytes
+from .textkernel import Block, blocks, grams, resting, text_bytes
 
 LINES = 3
 
@@ -53,7 +53,7 @@ def windows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(gram.view(np.int64)), lines], names=["_id", "_text_hash", "_window", "_lines"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_id {kind}, _text_hash long, _window long, _lines array<int>")
+    return rows.mapInArrow(resting(run), f"_id {kind}, _text_hash long, _window long, _lines array<int>")
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def _rewritten(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), pa.array([len(g or ()) for g in gone], pa.int64())], names=["_row", "_new", "_removed"])
 
     row = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row {row}, _new string, _removed long")
+    return rows.mapInArrow(resting(run), f"_row {row}, _new string, _removed long")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

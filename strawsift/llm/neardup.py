@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import counted, cut, same, sieved, small_side
 from .components import components
-from .textkernel import Block, blocks, grams, mix, text_bytes
+from .textkernel import Block, blocks, grams, mix, resting, text_bytes
 
 BANDS, ROWS = 32, 4
 CHUNK = 1 << 15  # shingles on either side of a task of step 2
@@ -105,7 +105,7 @@ def hashed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(np.diff(at).astype(np.int64)), *sums, lists], names=["_id", "n_shingles", "_sa", "_sb", "_bands"])
 
     kind = given.schema["_id"].dataType.simpleString()
-    return given.mapInArrow(run, f"_id {kind}, n_shingles long, _sa long, _sb long, _bands array<long>")
+    return given.mapInArrow(resting(run), f"_id {kind}, n_shingles long, _sa long, _sb long, _bands array<long>")
 
 
 class _Sets:
@@ -256,7 +256,7 @@ def with_sets(rows: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, stop - start) for c in batch.columns[:-1]), lists], names=[*(f.name for f in given), "_set"])
 
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given) + ", _set array<long>")
+    return rows.mapInArrow(resting(run), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given) + ", _set array<long>")
 
 
 def _slot(sets: np.ndarray) -> np.ndarray:

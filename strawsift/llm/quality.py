@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, same, small_side
-from .textkernel import Block, blocks, grams, mix, sums_by, text_bytes
+from .textkernel import Block, blocks, grams, mix, resting, sums_by, text_bytes
 
 LEAST = 50
 BINS_A_DOUBLING = 32
@@ -102,7 +102,7 @@ def measured(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
 
     row = rows.schema["_row"].dataType.simpleString()
     kinds = ", ".join(f"{c} long" for c in COUNTS)
-    return rows.mapInArrow(run, f"_row {row}, _lang string, _source string, {kinds}")
+    return rows.mapInArrow(resting(run), f"_row {row}, _lang string, _source string, {kinds}")
 
 
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"

@@ -7,7 +7,8 @@ they stand, and no loop runs over words or characters. Texts are never cut: a te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,25 @@ _powers = np.ones(1, _U)
 _inverses = np.ones(1, _U)
 
 
+def rest() -> None:
+    """Give back to the machine what this process has freed: its allocators keep that, in each of an executor's idle workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def resting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after whose last batch the worker rests."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        rest()
+
+    return runs
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit (three xor-shifts, two odd factors)."""
     x = x ^ (x >> _U(30))
@@ -41,10 +61,11 @@ _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
 def _grow(n: int) -> None:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, 2 * BLOCK_BYTES + 64)
+        size = max(n, BLOCK_BYTES + 64)  # what a block of texts takes that are not longer than a block
         with np.errstate(over="ignore"):
-            _powers = np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(size - 1, _BASE, _U)]))
-            _inverses = np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(size - 1, _INVERSE, _U)]))
+            _powers, _inverses = (np.multiply.accumulate(x, out=x) for x in (np.full(size, _BASE, _U), np.full(size, _INVERSE, _U)))
+            _powers *= _U(_INVERSE)  # from exponent 0
+            _inverses *= _U(_BASE)
 
 
 class Block:

@@ -325,3 +325,37 @@ def test_the_model_beats_its_base_on_held_out_texts(spark):
     found = lm.scored(spark.createDataFrame(rows, DOCS)).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
     assert found[0] > 0.85 * found[1]
     assert re.match(r"-\d", str(found[0]))
+
+
+def test_texts_go_to_the_encoder_once(spark):
+    """The encoding stage does not also carry the text along to drop it: that was twice the memory of a batch, on both sides."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "en", "a", "one two"), (2, "en", "a", None)], "doc_id long, lang string, source string, text string")
+    for coded in (corpus_pipeline.encode(spark, docs, ""), bpe.digests(docs)):
+        row = re.search(r"struct\((.*?)\) AS _row", coded._jdf.queryExecution().analyzed().toString())[1]
+        assert "doc_id" in row and "text" not in row
+    kept = bpe.encode_checked(docs).orderBy("doc_id").collect()
+    assert [(r["text"], r["round_trip"]) for r in kept] == [("one two", True), (None, True)]
+
+
+def test_a_worker_gives_memory_back():
+    """What a task has freed is not held by its worker's allocators."""
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    def run(batches):
+        for n in batches:
+            words = [bytes(400) for _ in range(n)]
+            pins.append(bytes(400))  # lies behind them, so they are not at the end of the heap
+            yield len(words)
+
+    pins, before = [], held()
+    assert list(textkernel.resting(run)([300_000])) == [300_000]
+    assert held() - before < 60
+
+
+def test_powers_are_those_of_the_base():
+    textkernel._grow(10)
+    assert len(textkernel._powers) == len(textkernel._inverses) >= textkernel.BLOCK_BYTES + 2
+    for i in (0, 1, 2, 999_983):
+        assert int(textkernel._powers[i]) == pow(textkernel._BASE, i, 1 << 64) and int(textkernel._inverses[i]) == pow(textkernel._INVERSE, i, 1 << 64)
