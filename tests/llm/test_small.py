@@ -345,12 +345,12 @@ def test_a_worker_gives_memory_back():
 
     def run(batches):
         for n in batches:
-            words = [bytes(400) for _ in range(n)]
-            pins.append(bytes(400))  # lies behind them, so they are not at the end of the heap
+            words = [bytes(1000) for _ in range(n)]
+            pins.append(bytes(1000))  # lies behind them, so they are not at the end of the heap
             yield len(words)
 
     pins, before = [], held()
-    assert list(textkernel.resting(run)([300_000])) == [300_000]
+    assert list(textkernel.resting(run)([200_000])) == [200_000]
     assert held() - before < 60
 
 
