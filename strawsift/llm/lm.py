@@ -103,6 +103,8 @@ class Vocabulary:
         h, tail, n = (known[c].to_numpy() for c in ("h", "tail", "n")) if known else (np.zeros(0, np.int64),) * 3
         order = np.argsort(h.view(np.uint64))
         self.h, self.n, tail = h.view(np.uint64)[order].copy(), n[order].copy(), tail[order]
+        self.shift = np.uint64(64 - max(1, len(self.h).bit_length()))  # the hashes' first bits: about one known word for each of their values
+        self.first = np.concatenate([[0], np.cumsum(np.bincount((self.h >> self.shift).astype(np.int64), minlength=1 << 64 - int(self.shift)))]).astype(np.int32)
         rank = np.lexsort((self.h, -self.n, self.h != np.uint64(END)))[:HEAD]  # the end first, then by count
         rank = rank[np.lexsort((self.h[rank], -self.n[rank]))]
         self.symbol = np.full(len(self.h), -1, np.int32)
@@ -119,7 +121,12 @@ class Vocabulary:
         """Counts of some tokens (0: not among the known) and their symbols."""
         if not len(self.h):
             return np.zeros(len(hashes), np.int64), (len(self.head) + tails).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.h, hashes), len(self.h) - 1)
+        last = len(self.h) - 1
+        at = np.minimum(self.first[(hashes >> self.shift).astype(np.int64)], last)
+        low = np.flatnonzero((self.h[at] < hashes) & (at < last))
+        while len(low):  # on to the next of those that begin alike
+            at[low] += 1
+            low = low[(self.h[at[low]] < hashes[low]) & (at[low] < last)]
         hit = self.h[at] == hashes
         symbol = np.where(hit, self.symbol[at], -1)
         return np.where(hit, self.n[at], 0), np.where(symbol >= 0, symbol, len(self.head) + tails).astype(np.int64)

@@ -6,10 +6,13 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -241,6 +244,64 @@ def test_scores_carry_the_state_over_whole_texts():
     assert abs(np.exp(m.log_probability(np.repeat(h, 204, 0), np.arange(204))).sum() - 1) < 1e-5
 
 
+def _vocabulary(spark, words):
+    return lm.Vocabulary(spark.createDataFrame(pa.table({"h": words.view(np.int64), "tail": np.zeros(len(words), np.int32), "n": np.arange(len(words)) + 1})))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 1000])
+def test_known_words_are_found(spark, n):
+    """All known words, whatever bits they begin with, and no others."""
+    words = textkernel.mix(np.arange(n, dtype=np.uint64))
+    words[n // 2 :] >>= np.uint64(40)  # a part that begins alike
+    words = np.unique(np.append(words, np.array([0, 2**64 - 1], np.uint64)[: n // 3]))
+    others = np.setdiff1d(np.concatenate([words + np.uint64(1), words - np.uint64(1)]), words)
+    v = _vocabulary(spark, words[::-1].copy())
+    asked = np.concatenate([others, words])
+    found, _ = v.look_up(asked, np.zeros(len(asked), np.int64))
+    assert found.tolist() == [0] * len(others) + list(range(len(words), 0, -1))
+
+
+def test_words_are_found_without_a_binary_search(spark):
+    """Looking words up takes less CPU time than a search through all that are known, which it contained."""
+    words = textkernel.mix(np.arange(600_000, dtype=np.uint64))
+    v, tails = _vocabulary(spark, words), np.zeros(200_000, np.int64)
+    asked = np.random.default_rng(0).choice(textkernel.mix(np.arange(900_000, dtype=np.uint64)), len(tails))
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.thread_time()
+            f()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert least(lambda: v.look_up(asked, tails)) < 0.9 * least(lambda: np.searchsorted(v.h, asked))
+
+
+def test_scoring_holds_little_at_once():
+    """What it takes anew for some states is so little that the allocator keeps it: larger pieces go back to the machine each time."""
+    m = R.Model(np.arange(1024, 0, -1.0), np.ones(32))
+    symbols = np.random.default_rng(1).integers(0, 1056, 3000 * 20)
+    tracemalloc.start()
+    m.score(symbols, np.arange(0, len(symbols) + 1, 20))
+    assert tracemalloc.get_traced_memory()[1] < 8e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("width", [1, 5, 6])
+def test_sums_of_rows_that_stand_together(width):
+    x = np.random.default_rng(2).standard_normal((40, width)).astype(np.float32)
+    assert np.allclose(R._sums(x, np.array([0, 1, 17])), [x[:1].sum(0), x[1:17].sum(0), x[17:].sum(0)], atol=1e-5)
+
+
+def test_shares_of_large_and_small_logits():
+    for shift in (0, 300, -300):
+        logit = np.array([[1, 2], [3, -400], [0, 5]], np.float32) + np.float32(shift)
+        e, total, top = R._powers(logit)
+        assert np.allclose(np.log(total) + top, np.logaddexp.reduce(logit.astype(float), axis=0), atol=1e-4)
+        assert np.allclose((e / total).sum(axis=0), 1)
+
+
 def _base(rows):
     train = Counter()
     for i, text, *_ in rows:
