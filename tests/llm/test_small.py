@@ -140,6 +140,50 @@ def test_bpe_merges_by_rank_then_place():
         assert codec.merge(list(ids)) == plain
 
 
+def test_bpe_words_grow_together(monkeypatch):
+    """Pre-tokens of up to 65 bytes are merged side by side, as each alone is, whatever the number of rows of an array."""
+    codec = bpe.Codec(bpe.default_path())
+    random.seed(5)
+    words = [b"", b"a", bytes(range(256))]
+    words += ["".join(random.choice(letters) for _ in range(n)).encode() for letters in ("aabtheing", "ab", " =", "é漢th", "a") for n in range(80)]
+    alone = [bpe.packed(codec.merge([codec.id_of_byte[b] for b in w])) for w in words]
+    one, long = codec.merge, []
+    monkeypatch.setattr(codec, "merge", lambda ids: long.append(len(ids)) or one(ids))
+    for nodes in (bpe.NODES, 128):
+        monkeypatch.setattr(bpe, "NODES", nodes)
+        assert codec.merge_all(words) == alone
+    assert not [n for n in long if 2 <= n <= 65]
+
+
+def test_bpe_ranks_of_pairs():
+    codec = bpe.codec()
+    known = np.array(list(codec.merges), np.int64)
+    rank = [place >> 32 for place, _ in codec.merges.values()]
+    assert codec._ranks.of(known >> 32, known & 0xFFFFFFFF).tolist() == rank
+    some = np.random.default_rng(6).integers(-1, len(codec.bytes_of), (2, 200_000))
+    truth = [codec.merges.get(a << 32 | b, (-1 << 32, 0))[0] >> 32 for a, b in zip(*some.tolist(), strict=True)]
+    assert codec._ranks.of(*some).tolist() == truth
+    full = bpe.Ranks({a << 32 | 7: a for a in range(9)})
+    assert full.of(np.arange(20), np.full(20, 7)).tolist() == [*range(9), *[-1] * 11]
+
+
+def test_bpe_in_pieces(byte_bpe, monkeypatch):
+    """Neither the pieces that a text is looked up in, nor the table's bound, nor the texts beside it change its ids."""
+    codec = bpe.Codec(bpe.default_path())
+    texts = ["", "a b c d e f g", "x" * 70 + " x", "<|endoftext|>one<|endoftext|>", "漢字 é\n\n  two", "one two " * 9, "", "=" * 65 + "é"]
+    truth = [byte_bpe.encode(t, add_special_tokens=False).ids for t in texts]
+    for together, kept, ids in ((1 << 17, 250_000, 1 << 18), (3, 250_000, 5), (4, 5, 1), (1, 0, 2)):
+        for name, value in (("TOGETHER", together), ("KEPT", kept), ("IDS", ids)):
+            monkeypatch.setattr(bpe, name, value)
+        for _ in range(2):
+            coded = codec.encode_all(texts)
+            assert [np.frombuffer(x, "<u4").tolist() for x in coded] == truth
+            assert codec.decode_all(coded) == texts
+            assert not [w for w in codec.kept if len(w) > bpe.KEPT_LENGTH] and len(codec.kept) <= max(kept, together)
+    assert codec.encode_all([]) == codec.decode_all([]) == []
+    assert list(bpe.grouped(["aa", "b", "cccc", "", "d"], 3)) == [["aa", "b"], ["cccc"], ["", "d"]]
+
+
 def test_bpe_query(byte_bpe, edge, edge_rows, clashing, empty):
     for df in (edge, clashing):
         found = sorted(map(tuple, bpe.digests(df).collect()), key=repr)
