@@ -27,18 +27,19 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import BLOCK_BYTES, resting
+from .textkernel import resting
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: The pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for ASCII texts, whose letters, digits and spaces are few enough to be named: the built-in engine is twice as fast.
 PLAIN_PATTERN = r" ?[A-Za-z]++|'(?:[sdmt]|re|ve|ll)| ?[0-9]++| ?[^\t-\r A-Za-z0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-KEPT = 250_000
+KEPT = 125_000
 KEPT_LENGTH = 64
-#: Pre-tokens that are looked up together, and the nodes of trees (four bytes each) that grow side by side.
-TOGETHER = 1 << 17
-NODES = 1 << 18
+#: Letters of short texts and pre-tokens of a long one that are looked up together, and the nodes of trees (four bytes each) that grow side by side.
+LETTERS = 1 << 18
+TOGETHER = 1 << 16
+NODES = 1 << 16
 #: Ids that are decoded together.
 IDS = 1 << 18
 _NONE = 1 << 62
@@ -369,7 +370,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _mapped(docs.select("doc_id", "text"), "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", both, path, True, keep=False)
 
 
-def grouped(texts: list, size: int = BLOCK_BYTES) -> Iterator[list]:
+def grouped(texts: list, size: int = LETTERS) -> Iterator[list]:
     """Consecutive texts of about ``size`` letters together; one that is longer stands alone."""
     group, held = [], 0
     for text in texts:
